@@ -1,7 +1,7 @@
 """All registered queries, in the order of the operator inventory."""
 from __future__ import annotations
 
-from . import q_rows  # noqa: F401
+from . import q_rows, q_profile  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]
