@@ -41,10 +41,36 @@ def label_encode_fit(df: DataFrame, cols: list[str]) -> DataFrame:
     return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("double"))
 
 
-def label_encode_apply(df: DataFrame, codes: DataFrame, cols: list[str],
+def code_maps(codes: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> dict | None:
+    """The code table as {column: {value: code}} when its size is checked
+    to be small; None when it is not (then encoding joins instead)."""
+    rows = codes.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["column"], {})[r["value"]] = r["code"]
+    return out
+
+
+def label_encode_apply(df: DataFrame, codes, cols: list[str],
                        unseen_code: float = 0.0, keep_text: bool = False) -> DataFrame:
     """Replace each text column by its code; unseen text takes the code of
-    the first class (0), as the single-applicant path of the reference."""
+    the first class (0), as the single-applicant path of the reference.
+
+    ``codes`` is a code table DataFrame or the dict of ``code_maps``. A small
+    table becomes literal maps in the projection (no join, no shuffle); a
+    large one is joined.
+    """
+    maps = codes if isinstance(codes, dict) else code_maps(codes)
+    if maps is not None:
+        new = {}
+        for c in cols:
+            kv = maps.get(c, {})
+            m = F.create_map(*[x for v, k in sorted(kv.items()) for x in (F.lit(v), F.lit(float(k)))])
+            code = F.coalesce(F.try_element_at(m, as_text(c)), F.lit(unseen_code)) if kv else F.lit(unseen_code)
+            new[f"{c}_code" if keep_text else c] = code
+        return df.withColumns(new)
     codes = broadcast_if_small(codes)
     out = df
     for c in cols:

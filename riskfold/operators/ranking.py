@@ -78,3 +78,37 @@ def _two_level(d: DataFrame, class_col: str, rank_col: str, n_ranges: dict) -> D
     return (ranked.join(offs, [class_col, "__r"])
             .withColumn(rank_col, F.col("__off") + F.col("__local"))
             .drop("__p", "__r", "__off", "__local"))
+
+
+def running_sums(df: DataFrame, part_cols: list[str], order_col: str, value_cols: list[str],
+                 descending: bool = True, prefix: str = "before_",
+                 rows_per_range: int = 2_000_000) -> DataFrame:
+    """For each row, the sums of ``value_cols`` over the rows of its partition
+    that come strictly earlier in ``order_col`` order (exclusive prefix sums).
+
+    ``order_col`` must be unique within a partition (pre-aggregate first).
+    Small partitions use one window; large ones are cut into value ranges
+    (approximate quantiles), summed per range (a small table) and combined
+    with a window that only spans one range.
+    """
+    sizes = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    if sizes <= rows_per_range:
+        w = Window.partitionBy(*part_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({prefix + v: F.coalesce(F.sum(v).over(w), F.lit(0)) for v in value_cols})
+    n_ranges = math.ceil(sizes / rows_per_range)
+    probs = [i / n_ranges for i in range(1, n_ranges)]
+    key = -F.col(order_col) if descending else F.col(order_col)
+    d = df.withColumn("__key", key.cast("double"))
+    cuts = d.groupBy(*part_cols).agg(F.percentile_approx("__key", probs, 10_000).alias("__cuts"))
+    d = d.join(F.broadcast(cuts), part_cols)  # one row per partition
+    d = d.withColumn("__r", F.size(F.filter("__cuts", lambda c: c <= F.col("__key")))).drop("__cuts")
+    tot = d.groupBy(*part_cols, "__r").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
+    wo = Window.partitionBy(*part_cols).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part_cols, "__r", *[F.coalesce(F.sum(f"__t_{v}").over(wo), F.lit(0)).alias(f"__o_{v}")
+                                           for v in value_cols])
+    w = Window.partitionBy(*part_cols, "__r").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"__l_{v}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in value_cols})
+    d = d.join(offs, part_cols + ["__r"])
+    return d.withColumns({prefix + v: F.col(f"__o_{v}") + F.col(f"__l_{v}") for v in value_cols}).drop(
+        "__key", "__r", *[f"__o_{v}" for v in value_cols], *[f"__l_{v}" for v in value_cols])

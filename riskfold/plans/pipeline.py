@@ -38,12 +38,13 @@ def _encode(df: DataFrame, income_max: float, codes: DataFrame | None):
     lin = R.log1p_linearise(df)
     binned = R.rebin(lin, income_max)
     if codes is None:
-        codes = PR.label_encode_fit(binned, C.CAT_COLS)
+        table = PR.label_encode_fit(binned, C.CAT_COLS)
+        codes = PR.code_maps(table) or table
     return PR.label_encode_apply(binned, codes, C.CAT_COLS), codes
 
 
 def fit_prepare(df: DataFrame, impute: str = "median", fit_on: str = "train",
-                checkpoint: bool = True) -> tuple[DataFrame, PrepState]:
+                checkpoint: bool = False) -> tuple[DataFrame, PrepState]:
     """Fit on a frame that has ``split``; returns (prepared frame, state)."""
     lin_income = R.log1p_clipped("Annual_Income")
     income_max = df.agg(F.max(lin_income)).first()[0]
@@ -67,15 +68,22 @@ def apply_prepare(df: DataFrame, state: PrepState) -> DataFrame:
     return state.scaler.apply(eng)
 
 
-def split_borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(borrowers(spark, sf_dir))
+def split_borrowers(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """Borrowers with split and folds, written once to the checkpoint folder
+    (one row per customer: far smaller than the tables it is derived from);
+    every later fit pass scans this table."""
+    if not materialise:
+        return stratified_split(borrowers(spark, sf_dir))
+    b = cut_lineage(borrowers(spark, sf_dir), "borrowers")
+    return cut_lineage(stratified_split(b), "borrowers-split")
 
 
 def prepared(spark: SparkSession, sf_dir: str, **kw) -> tuple[DataFrame, PrepState]:
     """Prepared table: id, label, split, folds and the scaled features."""
     df, state = fit_prepare(split_borrowers(spark, sf_dir), **kw)
     keep = [C.ID, C.LABEL, "split", "fold5", "fold3"] + C.ALL_FEATURES
-    return df.select(*keep), state
+    # written once: model fits, neighbour joins and scorers scan it many times
+    return cut_lineage(df.select(*keep), "prepared"), state
 
 
 def engineered_unscaled(spark: SparkSession, sf_dir: str, impute: str = "median") -> DataFrame:
@@ -84,7 +92,6 @@ def engineered_unscaled(spark: SparkSession, sf_dir: str, impute: str = "median"
     lin_income = R.log1p_clipped("Annual_Income")
     income_max = s.agg(F.max(lin_income)).first()[0]
     enc, _ = _encode(s, income_max, None)
-    enc = cut_lineage(enc)
     fit_rows = enc.filter(F.col("split") == "train")
     fill = (PR.impute_median_fit(fit_rows, C.ENCODED_FEATURES) if impute == "median"
             else PR.impute_most_frequent_fit(fit_rows, C.ENCODED_FEATURES))

@@ -55,8 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
-    if ensure_checkpoint_dir(df.sparkSession) is None:
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as parquet into the shared checkpoint folder and read it
+    back: the plan is computed once (``checkpoint()`` computes it twice
+    unless persisted), later scans are columnar with pushdown, and the data
+    survives executor loss. Never localCheckpoint."""
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession)
+    if base is None:
         raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
-    return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/riskfold-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
