@@ -266,7 +266,7 @@ def insight_codes(score="score", lo="range_lo", hi="range_hi") -> Column:
     dfd, od, ai = F.col("Delay_from_due_date"), F.col("Outstanding_Debt"), F.col("Annual_Income")
     rules = [
         ("high_delay", dfd > L["delay"]),
-        ("debt_to_income", od / (ai + 1) > L["debt_ratio"]),
+        ("debt_to_income", F.try_divide(od, ai + 1) > L["debt_ratio"]),
         ("high_utilisation", F.col("Credit_Utilization_Ratio") > L["util"]),
         ("short_history", F.col("Credit_History_Age") < L["history"]),
         ("bad_mix", F.col("Credit_Mix") == "Bad"),
