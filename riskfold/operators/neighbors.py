@@ -131,6 +131,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, features: list[str],
     oversampling). ``exclude_self``: a query never matches the reference with
     the same id (self-join). ``rid`` must be unique among references.
     """
+    from ..session import ship_package
+    ship_package(queries.sparkSession)
     rcols = [F.col(rid).alias("__rid")] + ([F.col(group).alias("__rg")] if group else []) \
         + [F.col(f).cast("double").alias(f"__r_{f}") for f in features]
     r = refs.select(*rcols)
