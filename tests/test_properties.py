@@ -121,3 +121,37 @@ def test_scaled_training_rows_have_mean0_std1(spark):
     for f in C.ALL_FEATURES:
         assert abs(st[f"m_{f}"]) < 1e-9
         assert abs(st[f"s_{f}"] - 1) < 1e-9 or st[f"s_{f}"] == 0
+
+
+def test_nb_attributions_sum_to_score_minus_mean(spark):
+    from riskfold.operators.explain import nb_attribution
+    from riskfold.operators.naive_bayes import gaussian_nb_fit
+    df, _ = PL.prepared(spark, SF_SMALL)
+    tr = df.filter("split = 'train'")
+    feats = C.ALL_FEATURES[:8]
+    nb = gaussian_nb_fit(tr, feats)
+    attr = nb_attribution(tr, tr, nb)
+    jll = tr.select(C.ID, *[nb.jll(k).alias(f"j{k}") for k in nb.classes])
+    means = jll.agg(*[F.avg(f"j{k}").alias(f"m{k}") for k in nb.classes]).first()
+    sums = attr.groupBy(C.ID, "class").agg(F.sum("value").alias("s")).join(jll, C.ID).collect()
+    for r in sums:
+        k = r["class"]
+        assert abs(r["s"] - (r[f"j{k}"] - means[f"m{k}"])) < 1e-6
+
+
+def test_stream_equals_batch(spark):
+    from riskfold.operators.naive_bayes import gaussian_nb_fit
+    from riskfold.sources import files
+    from riskfold.streaming.score_stream import run_stream, score_frame
+    split = PL.split_borrowers(spark, SF_SMALL)
+    prep, state = PL.fit_prepare(split)
+    nb = gaussian_nb_fit(prep.filter("split = 'train'"), C.ALL_FEATURES)
+    apps = split.drop(C.LABEL, "split", "fold5", "fold3")
+    src = files.scratch_path(spark, "apps")
+    apps.repartition(3).write.parquet(src)
+    out = run_stream(spark, src, apps.schema, state, nb, files.scratch_path(spark, "out"),
+                     files.scratch_path(spark, "ckpt"))
+    batch = score_frame(apps, state, nb)
+    cols = [C.ID, "score", "pred", "band"]
+    assert out.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+    assert out.count() == batch.count() == apps.count()
