@@ -122,9 +122,64 @@ def _probe_cells(queries: DataFrame, qid: str, features: list[str], piv: np.ndar
     return queries.select(*cols).mapInPandas(fn, schema)
 
 
+BROADCAST_MAX_VALUES = 8_000_000  # reference rows x (features + 2) doubles (~64 MB)
+
+
+def _knn_broadcast(queries: DataFrame, refs: DataFrame, k: int, features: list[str], qid: str, rid: str,
+                   group: str | None, exclude_self: bool, out_rid: str) -> DataFrame:
+    """Exact brute force against a broadcast reference set whose size was
+    checked by the caller. Squared differences are accumulated feature by
+    feature (the order of the Spark/SQL expression), so distances and
+    id tie-breaks are identical to the SQL form."""
+    cols = [rid] + ([group] if group else []) + features
+    pdf = refs.select(*[F.col(c).cast("double") if c in features else F.col(c) for c in cols]).toPandas()
+    bc = queries.sparkSession.sparkContext.broadcast({
+        "rid": pdf[rid].to_numpy(), "grp": pdf[group].to_numpy() if group else None,
+        "x": pdf[features].to_numpy(dtype=np.float64)})
+    qtype = queries.schema[qid].dataType.simpleString()
+    rtype = refs.schema[rid].dataType.simpleString()
+    schema = f"{qid} {qtype}, {out_rid} {rtype}, dist double, nn_rank int"
+    qcols = [qid] + ([group] if group else []) + features
+
+    def fn(batches):
+        ref = bc.value
+        rids, grp, xr = ref["rid"], ref["grp"], ref["x"]
+        for b in batches:
+            for s0 in range(0, len(b), 256):
+                pdf_q = b.iloc[s0:s0 + 256]
+                xq = pdf_q[features].to_numpy(dtype=np.float64)
+                acc = np.zeros((len(pdf_q), len(rids)))
+                for j in range(len(features)):
+                    d = xq[:, j:j + 1] - xr[None, :, j]
+                    acc = acc + d * d
+                dist = np.sqrt(acc)
+                if group:
+                    dist[pdf_q[group].to_numpy()[:, None] != grp[None, :]] = np.inf
+                if exclude_self:
+                    dist[pdf_q[qid].to_numpy()[:, None] == rids[None, :]] = np.inf
+                out_q, out_r, out_d, out_k = [], [], [], []
+                for i in range(len(pdf_q)):
+                    row = dist[i]
+                    kk = min(k, int(np.isfinite(row).sum()))
+                    if kk == 0:
+                        continue
+                    kth = np.partition(row, kk - 1)[kk - 1]
+                    cand = np.where(row <= kth)[0]
+                    best = cand[np.lexsort((rids[cand], row[cand]))][:kk]
+                    out_q += [pdf_q[qid].iat[i]] * kk
+                    out_r += list(rids[best])
+                    out_d += list(row[best])
+                    out_k += list(range(1, kk + 1))
+                if out_q:
+                    yield pd.DataFrame({qid: out_q, out_rid: out_r, "dist": out_d,
+                                        "nn_rank": np.asarray(out_k, dtype="int32")})
+    return queries.select(*qcols).mapInPandas(fn, schema)
+
+
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, features: list[str],
              qid: str, rid: str, group: str | None = None, exclude_self: bool = False,
-             cell_rows: int = 4096, probe: int = 2) -> DataFrame:
+             cell_rows: int = 4096, probe: int = 2,
+             broadcast_max_values: int | None = None) -> DataFrame:
     """Exact k nearest references per query: (qid, rid, dist, nn_rank).
 
     ``group``: only references of the same group qualify (e.g. the class, for
@@ -137,6 +192,10 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, features: list[str],
         + [F.col(f).cast("double").alias(f"__r_{f}") for f in features]
     r = refs.select(*rcols)
     n_ref = r.count()
+    limit = BROADCAST_MAX_VALUES if broadcast_max_values is None else broadcast_max_values
+    if n_ref * (len(features) + 2) <= limit:  # size checked: broadcast brute force
+        return _knn_broadcast(queries, refs, k, features, qid, rid, group, exclude_self,
+                              rid if rid != qid else f"{rid}_nn")
     n_piv = max(1, min(MAX_PIVOTS, math.ceil(n_ref / cell_rows)))
     piv = _choose_pivots(refs.select(rid, *[F.col(f).cast("double").alias(f) for f in features]),
                          rid, features, n_piv)

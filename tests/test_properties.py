@@ -75,12 +75,14 @@ def test_knn_join_exact_with_pruning(spark):
     feats = [f"f{i}" for i in range(d)]
     refs = spark.createDataFrame(pdf)
     qs = refs.filter("rid % 4 = 0").withColumnRenamed("rid", "qid")
-    res = knn_join(qs, refs, 7, feats, qid="qid", rid="rid", cell_rows=20, probe=1).toPandas()
     qpdf = pdf[pdf.rid % 4 == 0]
     exp = _brute(qpdf[feats].to_numpy(), x, 7, pdf["rid"].to_numpy())
-    got = res.sort_values(["qid", "nn_rank"]).groupby("qid")["rid"].apply(list)
-    for q, e in zip(qpdf["rid"], exp):
-        assert got[q] == e
+    for limit in (0, None):  # pivot-partitioned join, then the size-checked broadcast path
+        res = knn_join(qs, refs, 7, feats, qid="qid", rid="rid", cell_rows=20, probe=1,
+                       broadcast_max_values=limit).toPandas()
+        got = res.sort_values(["qid", "nn_rank"]).groupby("qid")["rid"].apply(list)
+        for q, e in zip(qpdf["rid"], exp):
+            assert got[q] == e
 
 
 def test_smote_balances_and_interpolates(spark):
