@@ -100,3 +100,85 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels.join(up.select(F.col("v").alias("root"), "p"), "root", "left")
             .select("node", F.coalesce("p", "root").alias("root")), "cc-labels")
     return labels
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_docs: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, y) of about ``max_docs`` labelled documents outside the
+    held-out fold, taken by a hash of the id. Repeated labels: the largest
+    counts; null ids, labels and texts are left out."""
+    y = (labels.where(F.col(label_col).isNotNull() & (crc_fold("doc_id") != 2))
+         .groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("y")))
+    n = y.count()
+    if n > max_docs:
+        y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int((1 << 31) * max_docs / n))
+    # about max_docs rows by the line above: a bounded broadcast
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    return d.join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id"])
+
+
+def add_score(docs: DataFrame, text_col: str, keep, make_scorer, name: str = "score") -> DataFrame:
+    """``keep`` columns plus a double column ``name`` (its clashing name gets an
+    underscore). ``make_scorer()`` runs once a task and returns a function from
+    a list of texts (null as empty) to an array of scores."""
+    import pyarrow as pa
+    keep = list(keep)
+    text = fresh("__text", keep)
+    name = fresh(name, keep)
+    d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(text))
+
+    def run(batches):
+        score = make_scorer()
+        for batch in batches:
+            t = batch.column(text)
+            got = [score(t.slice(i, 500)) for i in range(0, len(t), 500)]
+            got = np.concatenate(got) if got else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(got, pa.float64())],
+                                             names=keep + [name])
+    from pyspark.sql import types as T
+    return d.mapInArrow(run, T.StructType([d.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())]))
+
+
+def dual_coordinate_descent(rows, y: np.ndarray, dim: int, c: float = 1.0, epochs: int = 30, seed: int = 1):
+    """Weights of an L2-regularised squared-hinge linear model (dual coordinate
+    descent). ``rows``: per example (indices, values); ``y``: +1 or -1. The last
+    of the ``dim`` + 1 weights is the bias. Classes weigh alike in total."""
+    rng = np.random.default_rng(seed)
+    w = np.zeros(dim + 1)
+    n = len(y)
+    pos = max(1, int((y > 0).sum()))
+    cost = np.where(y > 0, c * n / (2 * pos), c * n / (2 * max(1, n - pos)))
+    diag = 1 / (2 * cost)
+    q = np.array([v @ v + 1.0 for _, v in rows]) + diag
+    alpha = np.zeros(n)
+    for _ in range(epochs):
+        worst = 0.0
+        for i in rng.permutation(n):
+            idx, v = rows[i]
+            g = y[i] * (w[idx] @ v + w[dim]) - 1 + diag[i] * alpha[i]
+            new = max(0.0, alpha[i] - g / q[i])
+            step = (new - alpha[i]) * y[i]
+            if step:
+                w[idx] += step * v
+                w[dim] += step
+                worst = max(worst, abs(step))
+                alpha[i] = new
+        if worst < 1e-4:
+            break
+    return w
+
+
+def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(a, b) of the logistic calibration 1 / (1 + exp(-(a * margin + b)))."""
+    pos, neg = float((y > 0).sum()), float((y <= 0).sum())
+    t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
+        s = np.maximum(p * (1 - p), 1e-9)
+        h = np.array([[(s * margin * margin).sum() + 1e-6, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
+        step = np.linalg.solve(h, [((t - p) * margin).sum(), (t - p).sum()])
+        a, b = a + step[0], b + step[1]
+        if np.abs(step).max() < 1e-7:
+            break
+    return float(a), float(b)

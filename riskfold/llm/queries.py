@@ -1,15 +1,24 @@
 """Registered queries of the training-data operators."""
 from __future__ import annotations
 
-from . import chat, mixing, warc
+from . import bottomk, chat, decontam, html_text, mixing, parity_join, pii, quality, toxicity, warc
 
 QUERIES = {
+    "op1_fm_decontam": decontam.query,
     "op2_chat_format": chat.query,
+    "op3_toxicity_ssk": toxicity.query,
+    "op4_pii_boosted": pii.query,
+    "op5_quality_nbsvm": quality.query,
+    "op6_parity_join": parity_join.query,
+    "op7_host_path_text": html_text.query,
+    "op8_bottomk_fingerprint": bottomk.query,
     "op9_warc_chain": warc.query,
     "op10_fair_queue_mix": mixing.query,
 }
 
+# the others are not expressible in SQL and are tested against brute force
 ORACLE = {
+    "op1_fm_decontam": decontam.SQL,
     "op2_chat_format": chat.SQL,
     "op9_warc_chain": warc.SQL,
     "op10_fair_queue_mix": mixing.SQL,
