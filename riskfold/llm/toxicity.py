@@ -1,20 +1,22 @@
 """Operator 3: toxicity by a subsequence string kernel and support vectors.
 
-Kernel. Two words are compared by the gap-weighted subsequence kernel of length
-P (each common subsequence counts LAMBDA per letter it spans in either word),
-normalised, squared, and cut off below FLOOR; so ``id-iot``, ``idxiot`` and
-``1diot`` stay close to ``idiot``. Two sentences are compared by the sum over
+Kernel. A word is its beginning (``^`` and PIECE - 1 letters) and, if longer,
+overlapping pieces of PIECE letters. Pieces are compared by the gap-weighted
+subsequence kernel of length P (each common subsequence counts LAMBDA per letter
+it spans in either), normalised, squared, and cut off below FLOOR; so
+``id-iot``, ``idxiot`` and ``1diot`` stay close to ``idiot``. Two sentences are compared by the sum over
 their pairs of words (a convolution kernel). Single letters set apart
 (``i d i o t``) are joined to one word first; common digit-for-letter writings
 are undone.
 
-Nystroem. Landmarks are the words that best tell the labels of the sample apart
+Nystroem. Landmarks are the word beginnings that best tell the labels of the sample apart
 (counted in Spark). With K the kernel of the landmarks, a sentence's coordinates
 are K ** -1/2 times its kernel values against them. A linear squared-hinge SVM
 is trained on labelled sentences (dual coordinate descent): all sentences of
 clean texts that touch a landmark, and of each toxic text the sentence that
-currently scores highest, twice over. A document scores as its highest sentence,
-calibrated to 0..1.
+currently scores highest, twice over. A document scores as its highest sentences,
+calibrated to 0..1 (TOP sentences are added up, so one odd word weighs less than
+several).
 
 Since both maps are linear, a word's weight is one number. A task evaluates the
 kernel once per distinct word, only against landmarks most of whose letters the
@@ -38,9 +40,10 @@ P = 3
 LAMBDA = 0.6
 FLOOR = 0.4
 LANDMARKS = 96
-MAX_FIT = 6000                  # labelled documents in the fit, about
-PIECE = 40                      # letters; longer words are compared in overlapping pieces
+MAX_FIT = 4000                  # labelled documents in the fit, about
+PIECE = 8                       # signs; longer words are compared in overlapping pieces
 CACHE = 400_000                 # words whose weight a task remembers
+TOP = 3                         # sentences that make a document's score
 CUTOFF = 0.3
 # digits and signs commonly written for letters
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -53,11 +56,10 @@ def normalise(words: list[str]) -> list[str]:
     return _NOT_LETTER.sub("", "\n".join(w.translate(_LEET) for w in words)).split("\n") if words else []
 
 
-def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
-    a = np.full((len(words), width), pad, np.int64)
-    for i, w in enumerate(words):
-        a[i, :len(w)] = [ord(c) for c in w]
-    return a
+def _codes(words: list[str], width: int, pad: str) -> np.ndarray:
+    """Code points of the words as rows of ``width``, filled up with ``pad``."""
+    joined = "".join([w.ljust(width, pad) for w in words])
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, p: int = P, lam: float = LAMBDA) -> np.ndarray:
@@ -82,23 +84,21 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, p: int = P, lam: float = LA
 def _pieces(words: list[str]) -> tuple[list[str], np.ndarray]:
     out, own = [], []
     for i, w in enumerate(words):
-        if len(w) <= PIECE:
-            out.append(w)
+        out.append("^" + w[:PIECE - 1])
+        own.append(i)
+        for k in range(PIECE // 2, len(w) - PIECE // 2 + 1, PIECE // 2):
+            out.append(w[k:k + PIECE])
             own.append(i)
-        else:
-            for k in range(0, len(w) - PIECE // 2, PIECE // 2):
-                out.append(w[k:k + PIECE])
-                own.append(i)
     return out, np.array(own, np.int64)
 
 
 class Landmarks:
-    """Kernel values of words against a fixed list of words."""
+    """Kernel values of words against a fixed list of pieces."""
 
-    def __init__(self, words: list[str]):
-        self.words = [w[:PIECE] for w in words]
+    def __init__(self, pieces: list[str]):
+        self.words = pieces
         self.width = max((len(w) for w in self.words), default=1)
-        self.codes = _codes(self.words, self.width, -1)
+        self.codes = _codes(self.words, self.width, "\1")
         self.masks = self._masks(self.words)
         letters = np.bitwise_count(self.masks).astype(np.int64)
         self.missing = np.where(letters <= 4, 0, np.where(letters <= 7, 1, 2))
@@ -120,12 +120,17 @@ class Landmarks:
             for k in range(0, len(pick), 2000):
                 sel = pick[k:k + 2000]
                 a = [words[i] for i in sel]
-                out[sel] = subsequence_kernel(_codes(a, max(lo, 1), -1), _codes(a, max(lo, 1), -2))
+                out[sel] = subsequence_kernel(_codes(a, max(lo, 1), "\1"), _codes(a, max(lo, 1), "\2"))
         return out
 
     def values(self, words: list[str]):
         """Sparse (word index, landmark index, kernel) of normalised words."""
         words, own = _pieces(words)
+        i, j, v = self.compare(words)
+        return own[i], j, v
+
+    def compare(self, words: list[str]):
+        """Sparse (piece index, landmark index, kernel) of pieces."""
         z = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if not words or not self.words:
             return z
@@ -135,7 +140,7 @@ class Landmarks:
         wi, li = [], []
         for j in range(len(self.words)):
             ok = np.bitwise_count(self.masks[j] & ~mask) <= self.missing[j]
-            ok &= lens >= max(P, len(self.words[j]) - 3)
+            ok &= lens >= max(P, len(self.words[j]) - 2)
             k = np.flatnonzero(ok)
             wi.append(k)
             li.append(np.full(len(k), j))
@@ -146,7 +151,7 @@ class Landmarks:
             pick = np.flatnonzero((size > lo - 4) & (size <= lo))
             for k in range(0, len(pick), 2000):
                 sel = pick[k:k + 2000]
-                val[sel] = subsequence_kernel(_codes([words[i] for i in wi[sel]], lo, -2), self.codes[li[sel]])
+                val[sel] = subsequence_kernel(_codes([words[i] for i in wi[sel]], lo, "\2"), self.codes[li[sel]])
         # a word's own kernel is at least that of its unbroken subsequences
         least = np.maximum(size - P + 1, 1) * LAMBDA ** (2 * P)
         near = val >= FLOOR * np.sqrt(least * self.self_k[li])
@@ -157,7 +162,7 @@ class Landmarks:
         own_k = self._self([words[i] for i in uniq])[inv]
         val = val / np.sqrt(np.maximum(own_k * self.self_k[li], 1e-30))
         near = val >= FLOOR
-        return own[wi[near]], li[near], val[near] ** 2
+        return wi[near], li[near], val[near] ** 2
 
 
 def spaced_words(text: str) -> list[str]:
@@ -181,13 +186,14 @@ class WordWeights:
         for i, j, v in zip(*(x.tolist() for x in self.marks.values(normalise(new)))):
             got.setdefault(i, []).append((j, v))
         for i, w in enumerate(new):
-            self.known[w] = self.weight(got[i]) if i in got else None
-            if i in got:
+            self.known[w] = x = self.weight(got[i]) if i in got else None
+            if x is not None:
                 self.hits.add(w)
 
 
-def sentences(text: str, known: dict) -> list[list]:
-    """Weights of the words with one, per sentence that has any."""
+def sentences(text: str, spaced: list[str], known: dict) -> list[list]:
+    """Weights of the words with one, per sentence that has any; words written
+    as single letters are sentences of their own."""
     out, cur = [], []
     for w in text.split():
         x = known.get(w)
@@ -198,41 +204,62 @@ def sentences(text: str, known: dict) -> list[list]:
             cur = []
     if cur:
         out.append(cur)
-    for w in spaced_words(text):
+    for w in spaced:
         if known.get(w) is not None:
             out.append([known[w]])
     return out
 
 
-def _vocabulary(texts) -> set:
+def top_sum(scores) -> float:
+    """Sum of the TOP largest positive sentence scores."""
+    return float(sum(sorted((x for x in scores if x > 0), reverse=True)[:TOP]))
+
+
+def _vocabulary(texts, spaced) -> set:
     words: set[str] = set()
-    for t in texts:
+    for t, s in zip(texts, spaced):
         words.update(t.split())
-        words.update(spaced_words(t))
+        words.update(s)
     return words
 
 
 def landmark_words(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
-    """The n words whose presence best tells toxic texts of the sample apart."""
-    w = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]{4,24}"), F.lit(0))))
-    c = sample.select("y", w.alias("w")).groupBy("w").agg(
-        F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    t = sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+    """The n word beginnings that best tell toxic texts of the sample apart.
+
+    A word counts once per word it follows, not per text: the words of one text
+    that is copied many times are no evidence, an insult strewn over texts is.
+    """
+    ws = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+    pairs = F.transform("ws", lambda w, i: F.struct(
+        w.alias("w"), F.xxhash64(F.when(i > 0, F.get("ws", i - 1)).otherwise("")).alias("before")))
+    d = sample.select("y", ws.alias("ws")).select("y", F.explode(F.array_distinct(pairs)).alias("x"))
+    n_letters = F.array(*[F.lit(k) for k in range(3, PIECE)])
+    d = d.where(F.length("x.w") >= 4).select("y", "x.w", "x.before", F.explode(n_letters).alias("k"))
+    d = d.where("k <= length(w)").select("y", F.expr("substring(w, 1, k)").alias("w"), "before").distinct()
+    c = cut_lineage(d.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")), "toxic-words")
+    t = c.agg(F.sum("p"), F.sum("q")).first()
     if not t[0] or not t[1]:
         return []
-    gain = F.col("p") / t[0] * (F.log((F.col("p") + 0.5) / (t[0] + 1.0)) - F.log((F.col("q") + 0.5) / (t[1] + 1.0)))
+    lift = F.log((F.col("p") + 0.5) / (t[0] + 1.0)) - F.log((F.col("q") + 0.5) / (t[1] + 1.0))
     # clearly more frequent in toxic texts: ten times the rate at least
-    top = (c.where((F.col("p") >= 3) & ((F.col("p") + 0.5) * (t[1] + 1.0) >= 10 * (F.col("q") + 0.5) * (t[0] + 1.0)))
-           .withColumn("g", gain).orderBy(F.col("g").desc(), "w").limit(n))
-    return list(dict.fromkeys(normalise([r.w for r in top.collect()])))
+    top = (c.withColumn("lift", lift).where("p >= 3 and lift >= ln(10.0)")
+           .orderBy((F.col("p") * F.col("lift")).desc(), "w").limit(6 * n))
+    kept: dict[str, int] = {}
+    for r in top.collect():
+        # a beginning that says the same as a kept longer or shorter one is left out
+        same = (k for k, p in kept.items() if (r.w.startswith(k) or k.startswith(r.w)) and 0.7 * p <= r.p <= p / 0.7)
+        if len(kept) < n and next(same, None) is None:
+            kept[r.w] = r.p
+    return ["^" + w for w in dict.fromkeys(normalise(list(kept)))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit: int = MAX_FIT,
         n_landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", c: float = 1.0) -> dict:
     """{words, v, bias, a, b}: landmarks, their weights, and the calibration."""
     import pyarrow as pa
-    sample = cut_lineage(labelled_sample(docs, labels, label_col, max_fit, id_col, text_col)
-                         .withColumn("y", (F.col("y") > 0).cast("int")), "toxic-sample")
+    sample = labelled_sample(docs, labels, label_col, max_fit, id_col, text_col)
+    sample = cut_lineage(sample.select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
+                         .repartition(24, "doc_id"), "toxic-sample")
     words = [w for w in landmark_words(sample, n_landmarks) if len(w) >= P]
     t = sample.agg(F.sum("y"), F.count(F.lit(1))).first()
     share = (t[0] or 0) / t[1] if t[1] else 0.0
@@ -245,11 +272,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit: i
         ww = WordWeights(Landmarks(words), lambda jv: jv)
         for batch in batches:
             texts = [(x or "").lower() for x in batch.column("text").to_pylist()]
-            ww.learn(_vocabulary(texts))
+            spaced = [spaced_words(t_) for t_ in texts]
+            ww.learn(_vocabulary(texts, spaced))
             rows = []
-            for t_ in texts:
+            for t_, sp in zip(texts, spaced):
                 ss = []
-                for s in sentences(t_, ww.known):
+                for s in sentences(t_, sp, ww.known):
                     v: dict[int, float] = {}
                     for jv in s:
                         for j, x in jv:
@@ -271,7 +299,7 @@ def train(bags, y: np.ndarray, words: list[str], c: float = 1.0) -> dict:
     m = len(words)
     marks = Landmarks(words)
     k = np.zeros((m, m))
-    i, j, v = marks.values(words)
+    i, j, v = marks.compare(words)
     k[i, j] = v
     val, vec = np.linalg.eigh((k + k.T) / 2)
     root = (vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T         # K ** -1/2
@@ -288,24 +316,30 @@ def train(bags, y: np.ndarray, words: list[str], c: float = 1.0) -> dict:
         w = dual_coordinate_descent(rows, np.array([-1] * len(clean) + [1] * len(picked)), m, c)
     if w is None:
         w = np.zeros(m + 1)
-    f = np.array([max([0.0, *(bag @ w[:m])]) + w[m] for bag in dense])
+    f = np.array([top_sum(bag @ w[:m]) + w[m] for bag in dense])
     a, b = platt(f, np.where(y > 0, 1, -1))
     return {"words": words, "v": root @ w[:m], "bias": float(w[m]), "a": a, "b": b}
 
 
 def scorer(model: dict):
     """Function from an Arrow string array to scores."""
-    v = model["v"]
-    ww = WordWeights(Landmarks(model["words"]), lambda jv: float(sum(v[j] * x for j, x in jv)))
+    v = model["v"].tolist()
+    least = 0.02 * max([1e-9, *map(abs, v)])                # lighter words change nothing
+
+    def weight(jv):
+        x = sum(v[j] * k for j, k in jv)
+        return x if abs(x) > least else None
+    ww = WordWeights(Landmarks(model["words"]), weight)
 
     def score(texts) -> np.ndarray:
         texts = [(t or "").lower() for t in texts.to_pylist()]
         best = np.zeros(len(texts))
         if model["words"]:
-            ww.learn(_vocabulary(texts))
-            for i, t in enumerate(texts):
-                if not ww.hits.isdisjoint(t.split()) or _SPACED.search(t):
-                    best[i] = max([0.0, *(sum(s) for s in sentences(t, ww.known))])
+            spaced = [spaced_words(t) for t in texts]
+            ww.learn(_vocabulary(texts, spaced))
+            for i, (t, sp) in enumerate(zip(texts, spaced)):
+                if sp or not ww.hits.isdisjoint(t.split()):
+                    best[i] = top_sum([sum(s) for s in sentences(t, sp, ww.known)])
         return 1 / (1 + np.exp(-np.clip(model["a"] * (best + model["bias"]) + model["b"], -40, 40)))
     return score
 
