@@ -13,19 +13,20 @@ m depends on the size band of the smaller document: every document emits its
 non-empty blocks under its own band, and under the band below if a partner can
 lie there. (band, block, fold) is the join key.
 
-Candidates. One shuffle by key. A key held by at most HOT rows keeps all its
-pairs as candidates. A hotter key (a common passage) is skipped, which is safe
-unless more than ``slack`` of a document's own keys are hot; of such documents
-("over") the hot keys stay, for pairs with an over document. Documents without
-slack (never seen; small sets whose shingles crowd into few blocks) are
-compared with all documents of a fitting size. So no link is lost.
-
-Verification. Only components are needed, so each class first verifies its
-most supported pair with a key's centre; what remains are pairs whose ends are
-still in different components. Sizes and a 1024-bit sketch (Hamming distance
-<= (a + b) / 9) drop nearly all false candidates before texts are fetched, and
-texts decide by exact set sizes. Thus a group of thousands of near copies
-costs rows in proportion to its size, not to its square.
+Candidates. One shuffle by key. A key held by at most HOT rows makes all its
+pairs candidates. A hotter key (a common passage) is skipped, which is safe
+unless more than ``slack`` of a document's own keys are hot. Such documents
+("over": members of a large cloud of variants, or mostly made of a passage) and
+documents without slack (small sets crowded into few blocks, hardly ever seen)
+are a query set compared in blocks: sketch against sketch inside a task, with
+the classes of a fitting size that hold one of their hot keys (all classes, for
+those without slack). So no link is lost and no group emits all its pairs.
+
+Verification. A second, compact parity sketch (1024 bits, more for large sets)
+and the sizes drop nearly all false candidates: its Hamming distance may be at
+most (a + b) / 9. Texts decide by exact set sizes. Only components are needed,
+so each class first verifies its nearest candidate, then its nearest in another
+component, and then all candidates whose ends are still apart.
 
 Cases: words are split at space and \\t..\\r after lower-casing A-Z; fewer than 5
 words are one shingle; null or wordless texts have no shingles and link with
@@ -42,8 +43,9 @@ from pyspark.sql import functions as F
 from .common import components, cut_lineage, small_enough, text_bytes
 
 SHINGLE = 5
-HOT = 64
-SKETCH_BITS = 1024
+HOT = 12
+BLOCK = 512                     # classes a side in one unit of the block comparison
+SKETCH_WORDS = 16               # 64-bit words of the compact sketch up to 1000 shingles
 CHUNK_BYTES = 1 << 20           # texts are hashed about this many bytes at a time
 _U = np.uint64
 _M64 = (1 << 64) - 1
@@ -153,13 +155,37 @@ def class_hash(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(n > 0, c.view(np.int64), 0)
 
 
-def bit_sketch(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Parity sketch: (sets, SKETCH_BITS / 64) signed words."""
-    n = len(ends) - 1
-    doc = np.repeat(np.arange(n), np.diff(ends))
-    pos = (mix(h, 21) >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
-    bits = np.bincount(doc * SKETCH_BITS + pos, minlength=n * SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+def bit_sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Compact parity sketch of each set; one of twice the length folds to the
+    shorter by XOR of its halves."""
+    n = np.diff(ends)
+    words = SKETCH_WORDS << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 1000))).astype(np.int64)
+    base = np.concatenate(([0], np.cumsum(words * 64)))
+    doc = np.repeat(np.arange(len(n)), n)
+    pos = (mix(h, 21) >> _U(8)).astype(np.int64) & (words[doc] * 64 - 1)
+    bits = np.bincount(base[doc] + pos, minlength=int(base[-1])) & 1
+    packed = np.packbits(bits.astype(np.uint8)).tobytes()
+    return [packed[i:j] for i, j in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
+
+
+def _distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Hamming distances of all sketches of ``a`` to all of ``b``."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for x in np.unique(la):
+        for y in np.unique(lb):
+            i, j = np.flatnonzero(la == x), np.flatnonzero(lb == y)
+            u = np.frombuffer(b"".join([a[k] for k in i]), np.uint64).reshape(len(i), -1)
+            v = np.frombuffer(b"".join([b[k] for k in j]), np.uint64).reshape(len(j), -1)
+            while u.shape[1] > v.shape[1]:
+                u = u[:, :u.shape[1] // 2] ^ u[:, u.shape[1] // 2:]
+            while v.shape[1] > u.shape[1]:
+                v = v[:, :v.shape[1] // 2] ^ v[:, v.shape[1] // 2:]
+            d = np.zeros((len(i), len(j)), np.int32)
+            for k in range(u.shape[1]):
+                d += np.bitwise_count(u[:, k, None] ^ v[None, :, k])
+            out[np.ix_(i, j)] = d
+    return out
 
 
 # bands of set sizes [BOUNDS[k], BOUNDS[k + 1]); partners (at most 5/4 as large)
@@ -250,15 +276,12 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 bare = np.zeros(j - i, bool)
                 bare[own[slack >= 0]] = True
                 bare = (n >= BOUNDS[0]) & ~bare
-                sk = bit_sketch(h, ends).reshape(-1)
-                w = SKETCH_BITS // 64
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(n),
                      pa.array(class_hash(h, ends)),
-                     pa.array(bare), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * w, w), pa.int32()),
-                                                              pa.array(sk))],
+                     pa.array(bare), pa.array(bit_sketches(h, ends), pa.binary())],
                     names=["doc_id", "th", "n_shingles", "cls", "bare", "sketch"])
-    return d.mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, cls long, bare boolean, sketch array<bigint>")
+    return d.mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, cls long, bare boolean, sketch binary")
 
 
 def sketch_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -326,39 +349,95 @@ def _verify(docs, reps, pairs: DataFrame, id_col, text_col) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long")
 
 
+def _ordered(x: str, y: str):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+_PAIR = "a long, b long, d double"
+
+
 def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs whose sizes and 1024-bit sketches allow a link."""
+    """(a, b, d) of the pairs whose sizes and compact sketches allow a link; d is
+    the sketch distance per shingle."""
+    import pyarrow as pa
     side = lambda s: info.select(F.col("cls").alias(s), F.col("n_shingles").alias("n" + s),
                                  F.col("sketch").alias("s" + s))
-    d = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                        F.lit(0), lambda acc, x: acc + x)
-    return (d.where("5 * na >= 4 * nb and 5 * nb >= 4 * na").where(9 * apart <= F.col("na") + F.col("nb"))
-             .drop("na", "nb", "sa", "sb"))
+    d = pairs.join(side("a"), "a").join(side("b"), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
 
+    def run(batches):
+        for batch in batches:
+            n = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).astype(float)
+            apart = np.array([_distances([x], [y])[0, 0] for x, y in
+                              zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())], float)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"),
+                                              pa.array(apart / np.maximum(n, 1))], ["a", "b", "d"])
+            yield out.filter(pa.array(9 * apart <= n))
+    return d.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, _PAIR)
 
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
+def block_pairs(info: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b, d): plausible pairs of different components, of a ``query`` class
+    and any class, compared in blocks of BLOCK by BLOCK sketches of a size band.
+    ``nearest``: only the nearest partner of each class of a block.
 
-def candidate_groups(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(key, cls, over): key groups of several classes; pairs with an ``over``
-    row are candidates."""
-    k = sketch_keys(docs, text_col)
+    ``info``: cls, n_shingles, sketch, query, comp."""
+    import pyarrow as pa
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(1.4))).cast("int")
+    p = info.withColumn("band", band)
+    # a partner is at most one band away: queries go to three bands
+    q = p.where("query").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    sizes = (p.groupBy("band").agg(F.count(F.lit(1)).alias("np"))
+             .join(q.groupBy("band").agg(F.count(F.lit(1)).alias("nq")), "band")
+             .select("band", F.ceil(F.col("np") / BLOCK).cast("int").alias("bp"),
+                     F.ceil(F.col("nq") / BLOCK).cast("int").alias("bq")))
+    sizes = F.broadcast(sizes)              # one row a size band: under a hundred
+    cols = ["cls", "n_shingles", "sketch", "comp"]
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = p.join(sizes, "band").select(*cols, "band", own("bp").alias("i"), every("bq").alias("j"), F.lit(False).alias("q"))
+    right = q.join(sizes, "band").select(*cols, "band", every("bp").alias("i"), own("bq").alias("j"), F.lit(True).alias("q"))
+
+    def unit(t):
+        q = t.column("q").to_numpy()
+        cls, n, comp = (t.column(c).to_numpy() for c in ("cls", "n_shingles", "comp"))
+        sk = t.column("sketch").to_pylist()
+        x, y = np.flatnonzero(q), np.flatnonzero(~q)
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        apart = _distances([sk[k] for k in x], [sk[k] for k in y])
+        nx, ny = n[x][:, None], n[y][None, :]
+        ok = (9 * apart <= nx + ny) & (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (comp[x][:, None] != comp[y][None, :])
+        d = np.where(ok, apart / (nx + ny), np.inf)
+        if nearest:
+            best = np.zeros(ok.shape, bool)
+            best[np.arange(len(x)), d.argmin(1)] = True
+            best[d.argmin(0), np.arange(len(y))] = True
+            ok &= best
+        i, j = np.nonzero(ok)
+        a, b = cls[x[i]], cls[y[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d[i, j]})
+    return left.union(right).groupBy("band", "i", "j").applyInArrow(unit, _PAIR)
+
+
+def key_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, cls, slack, cnt): the rows of keys that several classes hold."""
     from pyspark.sql import Window
     w = Window.partitionBy("key")
-    g = (k.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
-          .withColumn("cnt", F.count(F.lit(1)).over(w)).where("lo <> hi")
-          .groupBy("key", "cls").agg(F.max("slack").alias("slack"), F.max("cnt").alias("cnt")))
-    g = cut_lineage(g, "join-groups")
-    cold = g.where(F.col("cnt") <= hot).select("key", "cls", F.lit(True).alias("over"))
-    heat = g.where(F.col("cnt") > hot)
+    return (sketch_keys(docs, text_col)
+            .withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
+            .withColumn("cnt", F.count(F.lit(1)).over(w)).where("lo <> hi")
+            .groupBy("key", "cls").agg(F.max("slack").alias("slack"), F.max("cnt").alias("cnt")))
+
+
+def query_classes(groups: DataFrame, hot: int = HOT) -> DataFrame:
+    """(cls, query): classes that hold a hot key of an over class; query = over."""
+    heat = groups.where(F.col("cnt") > hot)
     over = (heat.where("slack >= 0").groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("s"))
-            .where("n > s").select("cls", F.lit(True).alias("over")))
-    heat = heat.select("key", "cls").join(over, "cls", "left").withColumn("over", F.coalesce("over", F.lit(False)))
-    heat = cut_lineage(heat, "join-hot")
-    live = heat.where("over").select("key").distinct()
-    return cold.union(heat.join(live, "key", "left_semi").select("key", "cls", "over"))
+            .where("n > s").select("cls", F.lit(True).alias("query")))
+    heat = heat.select("key", "cls").join(over, "cls", "left")
+    live = heat.where("query").select("key").distinct()
+    return (heat.join(live, "key", "left_semi").groupBy("cls")
+            .agg(F.max(F.coalesce("query", F.lit(False))).alias("query")))
 
 
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -370,45 +449,42 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     reps = cut_lineage(sets.where("n_shingles > 0").groupBy("cls").agg(F.min(best).alias("best"))
                        .select("cls", F.col("best.doc_id").alias("rep"), "best"), "join-reps")
-    groups = cut_lineage(candidate_groups(docs, text_col, hot), "join-cand")
-    centre = groups.where("over").groupBy("key").agg(F.min("cls").alias("centre"))
-    star = (groups.join(centre, "key").where("cls <> centre").select(*_ordered("cls", "centre"))
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
-    # documents without slack: against all documents of a fitting size
-    bare = sets.where("bare").select(F.col("cls").alias("x"), F.col("n_shingles").alias("nx")).distinct()
-    if not bare.isEmpty():
-        size = sets.where("n_shingles >= 4").select("cls", "n_shingles").distinct()
-        size = size.join(F.broadcast(bare) if small_enough(bare, 16) else bare,
-                         (5 * F.col("nx") >= 4 * F.col("n_shingles")) & (4 * F.col("nx") <= 5 * F.col("n_shingles"))
-                         & (F.col("cls") != F.col("x")))
-        star = star.union(size.select(*_ordered("cls", "x"), F.lit(1).cast("long").alias("w")).distinct())
-    seen = groups.select("cls").union(bare.select("x")).distinct()
-    info = sets.join(seen, "cls", "left_semi") if bare.isEmpty() else sets.where("n_shingles > 0")
-    info = cut_lineage(info.groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"),
-                                               F.first("sketch").alias("sketch")), "join-info")
-    star = cut_lineage(_plausible(star, info), "join-star")
-    # first each class's most supported pair, then what is still apart
-    ends = star.select("a", "b", "w", F.explode(F.array("a", "b")).alias("v"))
-    first = cut_lineage(ends.groupBy("v").agg(F.max_by(F.struct("a", "b"), F.struct("w", "a", "b")).alias("p"))
-                        .select("p.a", "p.b").distinct(), "join-first")
-    links = cut_lineage(_verify(docs, reps, first, id_col, text_col), "join-links")
-    comp = components(links)
-    of = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    g = (groups.join(of("cls"), "cls", "left").withColumn("comp", F.coalesce("rcls", "cls")).drop("rcls"))
-    g = cut_lineage(g, "join-comp")
-    split = (g.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                  F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key"))
-    g = g.join(split, "key", "left_semi")
-    x = g.where("over").select("key", F.col("cls").alias("x"), F.col("comp").alias("cx"))
-    rest = (g.join(x, "key").where("cls <> x and comp <> cx").select(*_ordered("cls", "x")).distinct())
-    rest = _plausible(rest, info).union(star.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = (rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
-            .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    rest = cut_lineage(rest, "join-rest")
-    if not rest.isEmpty():
-        more = cut_lineage(_verify(docs, reps, rest, id_col, text_col), "join-more")
-        if not more.isEmpty():
-            comp = components(links.union(more))
+    groups = cut_lineage(key_groups(docs, text_col), "join-groups")
+    query = query_classes(groups, hot)
+    bare = sets.where("bare").select("cls", F.lit(True).alias("query")).distinct()
+    if not bare.isEmpty():                  # documents without slack are compared with all
+        query = (sets.where("n_shingles > 0").select("cls", F.lit(False).alias("query"))
+                 .union(query).union(bare).groupBy("cls").agg(F.max("query").alias("query")))
+    query = cut_lineage(query, "join-query")
+    seen = groups.select("cls").union(query.select("cls")).distinct()
+    info = cut_lineage(sets.join(seen, "cls", "left_semi").groupBy("cls").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "join-info")
+    cold = groups.where(F.col("cnt") <= hot).select("key", "cls")
+    cold = (cold.join(cold.withColumnRenamed("cls", "b"), "key").where("cls < b")
+            .select(F.col("cls").alias("a"), "b").distinct())
+    cold = cut_lineage(_plausible(cold, info), "join-cold")
+    block = cut_lineage(info.join(query, "cls"), "join-block")
+    none = reps.sparkSession.createDataFrame([], "a long, b long")
+    links, tested, comp = none, none, none.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for nearest in (True, True, False):
+        of = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias("r" + c))  # noqa: E731,B023
+        near = block.join(of("cls"), "cls", "left").withColumn("comp", F.coalesce("rcls", "cls")).drop("rcls")
+        left = (cold.join(of("a"), "a", "left").join(of("b"), "b", "left")
+                .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "d")
+                .union(block_pairs(near, nearest)))
+        left = left.groupBy("a", "b").agg(F.min("d").alias("d")).join(tested, ["a", "b"], "left_anti")
+        if nearest:
+            ends = left.select("a", "b", "d", F.explode(F.array("a", "b")).alias("v"))
+            left = (ends.groupBy("v").agg(F.min(F.struct("d", "a", "b")).alias("p"))
+                    .select("p.a", "p.b").distinct())
+        left = cut_lineage(left.select("a", "b"), "join-pairs")
+        if left.isEmpty():
+            break
+        got = cut_lineage(_verify(docs, reps, left, id_col, text_col), "join-links")
+        tested = tested.union(left)
+        if not got.isEmpty():
+            links = links.union(got)
+            comp = components(links)
     named = reps.select("cls", "best").join(comp.select(F.col("node").alias("cls"), "root"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("best").alias("first"))
