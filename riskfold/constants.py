@@ -102,7 +102,7 @@ INSIGHT_TEXT = {
 INSIGHT_LIMITS = {"delay": 20, "debt_ratio": 0.3, "util": 40, "history": 3,
                   "delayed": 10, "inquiries": 8}
 # emoji -> ASCII tag for plain-text export
-EMOJI_TAGS = [("⚠️", "[!]"), ("💡", "[i]"), ("✅", "[ok]")]
+EMOJI_TAGS = [("⚠️", "[!]"), ("✅", "[OK]"), ("💡", "[>]")]
 PROBA_BAR_CELLS = 18
 PROBA_BAR_FULL, PROBA_BAR_EMPTY = "█", "░"
 
@@ -120,7 +120,7 @@ TEST_SHARE = 0.2
 LABEL_MAP = {i: n for i, n in enumerate(CLASS_NAMES)}
 NAME_TO_LABEL = {n: i for i, n in enumerate(CLASS_NAMES)}
 
-# raw numeric input columns of the borrower table, in schema order
+# FIXED VALUES: column names of the borrower table, in schema order
 NUMERIC_INPUTS = [
     "Age", "Annual_Income", "Monthly_Inhand_Salary", "Num_Bank_Accounts",
     "Num_Credit_Card", "Interest_Rate", "Num_of_Loan", "Delay_from_due_date",

@@ -21,9 +21,17 @@ def _c(x) -> Column:
 # type coercion and missing values
 # --------------------------------------------------------------------------
 def coerce_numeric(col) -> Column:
-    """string -> double; unparsable text becomes NULL (pandas errors='coerce')."""
-    c = _c(col)
-    return F.trim(c.cast("string")).try_cast("double")
+    """string -> double; unparsable text becomes NULL (pandas errors='coerce').
+
+    Only plain decimal notation counts as a number ("1d" and "1f" are text), and
+    NaN is missing. "inf" and "infinity", with a sign or without, are infinite,
+    as are numbers beyond the double range.
+    """
+    t = F.trim(_c(col).cast("string"))
+    number = t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    infinite = t.rlike(r"^(?i)[+-]?inf(inity)?$")
+    sign = F.when(F.startswith(t, F.lit("-")), F.lit("-Infinity")).otherwise(F.lit("Infinity"))
+    return F.when(number, t.try_cast("double")).when(infinite, sign.cast("double"))
 
 
 def nan_to_null(col) -> Column:
@@ -165,11 +173,10 @@ def scorecard_label(df: DataFrame, income_max=None) -> DataFrame:
 
 
 def label_map_on_read(col) -> Column:
-    """Text label -> 0/1/2; unknown text -> NULL; numeric text kept."""
+    """Text label -> 0/1/2; any other text -> NULL."""
     c = F.trim(_c(col).cast("string"))
     return (F.when(c == C.CLASS_NAMES[0], 0).when(c == C.CLASS_NAMES[1], 1)
-            .when(c == C.CLASS_NAMES[2], 2)
-            .otherwise(c.try_cast("int"))).cast("int")
+            .when(c == C.CLASS_NAMES[2], 2)).cast("int")
 
 
 def label_name(col) -> Column:

@@ -99,15 +99,19 @@ def score_histogram(scored: DataFrame) -> DataFrame:
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
-    """TPR/FPR at every distinct threshold (descending), one-vs-rest."""
+    """TPR/FPR at every distinct threshold (descending), one-vs-rest.
+
+    Each curve starts at (0, 0) with an infinite threshold."""
     h = running_sums(score_histogram(scored), ["model", "class"], "p", ["pos", "neg"], descending=True)
     tot = h.groupBy("model", "class").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    start = tot.select("model", "class", F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("tp"),
+                       F.lit(0).cast("bigint").alias("fp"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
     h = h.join(tot, ["model", "class"])  # one row per (model, class)
     return h.select("model", "class", F.col("p").alias("threshold"),
                     (F.col("before_pos") + F.col("pos")).alias("tp"),
                     (F.col("before_neg") + F.col("neg")).alias("fp"),
-                    ((F.col("before_pos") + F.col("pos")) / F.col("n_pos")).alias("tpr"),
-                    ((F.col("before_neg") + F.col("neg")) / F.col("n_neg")).alias("fpr"))
+                    F.try_divide(F.col("before_pos") + F.col("pos"), F.col("n_pos")).alias("tpr"),
+                    F.try_divide(F.col("before_neg") + F.col("neg"), F.col("n_neg")).alias("fpr")).unionByName(start)
 
 
 def roc_auc_by_class(scored: DataFrame) -> DataFrame:
@@ -145,8 +149,9 @@ def top_models(metrics: DataFrame, k: int) -> DataFrame:
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
-    return metrics.agg(F.max_by("model", F.struct("roc_auc", F.col("model"))).alias("best_model"),
-                       F.max("roc_auc").alias("roc_auc"))
+    """The leaderboard's first row: on equal AUC the first name."""
+    top = F.min(F.struct((-F.col("roc_auc")).alias("k"), "model"))
+    return metrics.agg(top["model"].alias("best_model"), F.max("roc_auc").alias("roc_auc"))
 
 
 def cv_mean_std(cv: DataFrame, metric: str = "roc_auc") -> DataFrame:

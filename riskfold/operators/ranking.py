@@ -9,8 +9,8 @@ rows are cut into key ranges of bounded size (approximate quantiles of a
 60-bit key prefix; approximation only affects bucket sizes, never the
 result), ranked inside their range by a window partitioned by (class,
 range), and shifted by the number of rows of the class in earlier ranges
-(a small table of range counts). Only when every class fits into one range
-is the single-level window used.
+(a small table of range counts). A NULL class is a class like any other, and
+the number of ranges never changes the result: one path serves all sizes.
 """
 from __future__ import annotations
 
@@ -26,47 +26,45 @@ def md5_key(id_col: str = C.ID, seed: int | str = C.SEED) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``cols``, NULL equal to NULL; the left columns are kept."""
+    r = right.withColumnsRenamed({c: f"__on_{c}" for c in cols})
+    on = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[f"__on_{c}"])
+        on = e if on is None else on & e
+    return left.join(r, on, how).drop(*[f"__on_{c}" for c in cols])
+
+
 def class_rank(df: DataFrame, class_col: str = C.LABEL, key: Column | None = None,
                rank_col: str = "rank", count_col: str | None = "class_n",
                rows_per_range: int = 2_000_000) -> DataFrame:
-    """Add the 0-based rank inside ``class_col`` by ``key`` (and class size)."""
+    """Add the 0-based rank inside ``class_col`` by ``key`` (and class size).
+
+    Rows of a NULL class are ranked among themselves."""
     key = key if key is not None else md5_key()
     d = df.withColumn("__k", key)
-    counts = d.groupBy(class_col).agg(F.count(F.lit(1)).alias("__n"))
-    cnt = {r[0]: r[1] for r in counts.collect()}  # one row per class
-    n_ranges = {k: max(1, math.ceil(v / rows_per_range)) for k, v in cnt.items()}
-    if max(n_ranges.values(), default=1) == 1:
-        w = Window.partitionBy(class_col).orderBy("__k")
-        out = d.withColumn(rank_col, F.row_number().over(w) - 1)
-    else:
-        out = _two_level(d, class_col, rank_col, n_ranges)
-    if count_col:
-        cn = F.create_map(*[x for k, v in cnt.items() if k is not None
-                            for x in (F.lit(k), F.lit(v))])
-        out = out.withColumn(count_col, F.try_element_at(cn, F.col(class_col)).cast("bigint"))
-    return out.drop("__k")
-
-
-def _two_level(d: DataFrame, class_col: str, rank_col: str, n_ranges: dict) -> DataFrame:
     # 60-bit numeric prefix of the hex key, scaled to [0, 1): monotone in the key
     prefix = F.conv(F.substring("__k", 1, 15), 16, 10).cast("double") / float(16 ** 15)
     d = d.withColumn("__p", prefix)
-    # range cut points per class from approximate quantiles (bounded state)
-    maxr = max(n_ranges.values())
-    probs = [i / maxr for i in range(1, maxr)]
-    qs = (d.groupBy(class_col)
-          .agg(F.percentile_approx("__p", probs, 10_000).alias("__q")).collect())
-    cuts = {r[0]: sorted(set(r[1])) for r in qs}
+    counts = {r[0]: r[1] for r in d.groupBy(class_col).agg(F.count(F.lit(1))).collect()}  # one row per class
+    most = max(1, math.ceil(max(counts.values(), default=0) / rows_per_range))
+    cuts: dict = {k: [] for k in counts}
+    if most > 1:
+        # range cut points per class from approximate quantiles (bounded state)
+        probs = [i / most for i in range(1, most)]
+        qs = d.groupBy(class_col).agg(F.percentile_approx("__p", probs, 10_000).alias("__q")).collect()
+        cuts = {r[0]: sorted({c for c in r[1] if 0.0 < c < 1.0}) for r in qs}
     # one sorted split list for all classes: class i occupies [2i, 2i+1)
-    classes = sorted(k for k in cuts if k is not None)
-    idx = F.create_map(*[x for i, k in enumerate(classes) for x in (F.lit(k), F.lit(2.0 * i))])
-    splits = [-float("inf")]
+    classes = sorted(cuts, key=lambda k: (k is None, 0 if k is None else k))
+    at = F.lit(0.0)
     for i, k in enumerate(classes):
-        splits += [2.0 * i] + [2.0 * i + c for c in cuts[k] if 0.0 < c < 1.0]
-    splits.append(float("inf"))
-    splits = sorted(set(splits))
+        same = F.col(class_col).isNull() if k is None else F.col(class_col).eqNullSafe(F.lit(k))
+        at = F.when(same, F.lit(2.0 * i)).otherwise(at)
+    splits = sorted({-float("inf"), float("inf"), *[2.0 * i for i in range(len(classes))],
+                     *[2.0 * i + c for i, k in enumerate(classes) for c in cuts[k]]} | {0.0})
     from pyspark.ml.feature import Bucketizer  # binary search per row
-    d = d.withColumn("__kp", F.coalesce(F.try_element_at(idx, F.col(class_col)), F.lit(-1.0)) + F.col("__p"))
+    d = d.withColumn("__kp", at + F.col("__p"))
     d = (Bucketizer(splits=splits, inputCol="__kp", outputCol="__rb", handleInvalid="keep")
          .transform(d).withColumn("__r", F.col("__rb").cast("int")).drop("__kp", "__rb"))
     # rows of the class in earlier ranges (table of size classes x ranges)
@@ -75,9 +73,16 @@ def _two_level(d: DataFrame, class_col: str, rank_col: str, n_ranges: dict) -> D
     offs = rc.withColumn("__off", F.coalesce(F.sum("__c").over(wo), F.lit(0))).drop("__c")
     w = Window.partitionBy(class_col, "__r").orderBy("__k")
     ranked = d.withColumn("__local", F.row_number().over(w) - 1)
-    return (ranked.join(offs, [class_col, "__r"])
-            .withColumn(rank_col, F.col("__off") + F.col("__local"))
-            .drop("__p", "__r", "__off", "__local"))
+    out = (_join_null_safe(ranked, offs, [class_col, "__r"])
+           .withColumn(rank_col, F.col("__off") + F.col("__local"))
+           .drop("__p", "__r", "__off", "__local"))
+    if count_col:
+        n = F.lit(None).cast("bigint")
+        for k, v in counts.items():
+            same = F.col(class_col).isNull() if k is None else F.col(class_col).eqNullSafe(F.lit(k))
+            n = F.when(same, F.lit(v)).otherwise(n)
+        out = out.withColumn(count_col, n.cast("bigint"))
+    return out.drop("__k")
 
 
 def running_sums(df: DataFrame, part_cols: list[str], order_col: str, value_cols: list[str],
@@ -86,29 +91,29 @@ def running_sums(df: DataFrame, part_cols: list[str], order_col: str, value_cols
     """For each row, the sums of ``value_cols`` over the rows of its partition
     that come strictly earlier in ``order_col`` order (exclusive prefix sums).
 
-    ``order_col`` must be unique within a partition (pre-aggregate first).
-    Small partitions use one window; large ones are cut into value ranges
-    (approximate quantiles), summed per range (a small table) and combined
-    with a window that only spans one range.
+    ``order_col`` must be unique within a partition (pre-aggregate first);
+    NULL part columns form partitions of their own. Partitions are cut into
+    value ranges (approximate quantiles), summed per range (a small table) and
+    combined with a window that only spans one range; one range is the same
+    path with no cuts.
     """
     sizes = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if sizes <= rows_per_range:
-        w = Window.partitionBy(*part_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({prefix + v: F.coalesce(F.sum(v).over(w), F.lit(0)) for v in value_cols})
-    n_ranges = math.ceil(sizes / rows_per_range)
-    probs = [i / n_ranges for i in range(1, n_ranges)]
+    n_ranges = max(1, math.ceil(sizes / rows_per_range))
     key = -F.col(order_col) if descending else F.col(order_col)
     d = df.withColumn("__key", key.cast("double"))
-    cuts = d.groupBy(*part_cols).agg(F.percentile_approx("__key", probs, 10_000).alias("__cuts"))
-    d = d.join(F.broadcast(cuts), part_cols)  # one row per partition
-    d = d.withColumn("__r", F.size(F.filter("__cuts", lambda c: c <= F.col("__key")))).drop("__cuts")
+    if n_ranges > 1:
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        cuts = d.groupBy(*part_cols).agg(F.percentile_approx("__key", probs, 10_000).alias("__cuts"))
+        d = _join_null_safe(d, F.broadcast(cuts), part_cols)  # one row per partition
+        d = d.withColumn("__r", F.size(F.filter("__cuts", lambda c: c <= F.col("__key")))).drop("__cuts")
+    else:
+        d = d.withColumn("__r", F.lit(0))
     tot = d.groupBy(*part_cols, "__r").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
     wo = Window.partitionBy(*part_cols).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*part_cols, "__r", *[F.coalesce(F.sum(f"__t_{v}").over(wo), F.lit(0)).alias(f"__o_{v}")
                                            for v in value_cols])
     w = Window.partitionBy(*part_cols, "__r").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumns({f"__l_{v}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in value_cols})
-    d = d.join(offs, part_cols + ["__r"])
+    d = _join_null_safe(d, offs, [*part_cols, "__r"])
     return d.withColumns({prefix + v: F.col(f"__o_{v}") + F.col(f"__l_{v}") for v in value_cols}).drop(
         "__key", "__r", *[f"__o_{v}" for v in value_cols], *[f"__l_{v}" for v in value_cols])

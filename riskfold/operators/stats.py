@@ -4,15 +4,17 @@
 DuckDB ``quantile_cont`` (linear interpolation between the order statistics
 at floor(h) and floor(h)+1, h = (n-1) p) but works by histogram refinement:
 
-1. one aggregate gives n, min, max per column;
-2. each pass histograms the values inside every open interval into ``B``
-   equal-width buckets (one scan, partial aggregation, result has at most
-   targets x B rows) and narrows each interval to the bucket holding its rank;
-3. once an interval holds at most ``collect_limit`` values, those values (a
-   bounded set) are fetched and the exact order statistic is read off.
-
-Spark's own ``percentile`` keeps every distinct value of a group in one
-buffer, which is unbounded at scale; ``percentile_approx`` is not exact.
+1. one aggregate gives n, min, max per column (NaN counts as missing);
+2. each pass histograms the values inside every open interval into ``buckets``
+   buckets (one scan, partial aggregation, at most intervals x buckets rows
+   reach the driver) and narrows each interval to the least and largest value
+   of the bucket holding its rank, until these are equal. Passes alternate
+   between equal widths and equal widths of the logarithm, so values that
+   spread over many magnitudes converge as well.
+
+No value list is ever fetched, and there is one path for all sizes. Spark's own
+``percentile`` keeps every distinct value of a group in one buffer, which is
+unbounded at scale; ``percentile_approx`` is not exact.
 """
 from __future__ import annotations
 
@@ -35,31 +37,27 @@ class _Target:
     refs: list = field(default_factory=list)
 
 
+def number(c: str):
+    """The column as double, NaN as NULL."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, list[int]], stats: dict,
-                     buckets: int = 4096, collect_limit: int = 200_000,
-                     max_passes: int = 40) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest non-null value for each (column, k)."""
+                     buckets: int = 256, max_passes: int = 200) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest non-missing value for each (column, k)."""
     targets: list[_Target] = []
     for c, ranks in wanted.items():
         n, lo, hi = stats[c]
         for r in sorted(set(ranks)):
-            if n == 0:
-                continue
-            targets.append(_Target(c, r, lo, hi, 0, n))
-    out: dict[tuple[str, int], float] = {}
-    for t in targets:
-        if t.lo == t.hi:
-            t.value = t.lo
-    for _ in range(max_passes):
+            if n:
+                targets.append(_Target(c, r, lo, hi, 0, n, lo if lo == hi else None))
+    for k in range(max_passes):
         open_t = [t for t in targets if t.value is None]
         if not open_t:
             break
-        small = [t for t in open_t if t.inside <= collect_limit]
-        big = [t for t in open_t if t.inside > collect_limit]
-        if small:
-            _resolve_by_collect(df, small)
-        if big:
-            _refine(df, big, buckets)
+        _refine(df, open_t, buckets, log=k % 3 == 2)
+    out: dict[tuple[str, int], float] = {}
     for t in targets:
         if t.value is None:
             raise RuntimeError(f"order statistic of {t.col} did not converge")
@@ -74,31 +72,23 @@ def _groups(ts):
     return list(g.items())
 
 
-def _resolve_by_collect(df: DataFrame, ts: list[_Target]) -> None:
-    groups = _groups(ts)
-    parts = []
-    for gi, ((c, lo, hi), _) in enumerate(groups):
-        x = F.col(c).cast("double")
-        parts.append(F.when(x.isNotNull() & (x >= lo) & (x <= hi),
-                            F.struct(F.lit(gi).alias("g"), x.alias("x"))))
-    long = (df.select(F.explode(F.array(*parts)).alias("s"))
-            .where(F.col("s").isNotNull()).select("s.g", "s.x"))
-    vals: dict[int, list[float]] = {}
-    for row in long.collect():  # bounded: every group holds <= collect_limit
-        vals.setdefault(row.g, []).append(row.x)
-    for gi, (_, members) in enumerate(groups):
-        v = sorted(vals.get(gi, []))
-        for t in members:
-            t.value = v[t.rank - t.below]
-
-
-def _refine(df: DataFrame, ts: list[_Target], buckets: int) -> None:
+def _refine(df: DataFrame, ts: list[_Target], buckets: int, log: bool) -> None:
     groups = _groups(ts)
     parts = []
     for gi, ((c, lo, hi), _) in enumerate(groups):
-        x = F.col(c).cast("double")
-        width = hi - lo
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1))
+        x = number(c)
+        if math.isinf(lo) or math.isinf(hi):
+            # infinite values get buckets of their own, the rest the middle one
+            b = F.when(x == float("-inf"), 0).when(x == float("inf"), buckets - 1).otherwise(1)
+        elif log:
+            # widths grow with the distance from the lower end
+            steps = math.log1p(hi / 2 - lo / 2) or 1.0
+            b = F.floor(F.log1p(x / 2 - F.lit(lo) / 2) / F.lit(steps) * buckets)
+        elif hi / 2 == lo / 2:
+            b = F.when(x > lo, buckets - 1).otherwise(0)
+        else:
+            b = F.floor((x / 2 - F.lit(lo) / 2) / F.lit(hi / 2 - lo / 2) * buckets)
+        b = F.greatest(F.least(b, F.lit(buckets - 1)), F.lit(0))
         parts.append(F.when(x.isNotNull() & (x >= lo) & (x <= hi),
                             F.struct(F.lit(gi).alias("g"), b.cast("int").alias("b"), x.alias("x"))))
     hist = (df.select(F.explode(F.array(*parts)).alias("s"))
@@ -127,7 +117,7 @@ def column_stats(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float,
     """n, min, max per column in one aggregate pass."""
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"n__{c}"), F.min(x).alias(f"mn__{c}"), F.max(x).alias(f"mx__{c}")]
     r = df.agg(*aggs).first()
     return {c: (r[f"n__{c}"], r[f"mn__{c}"], r[f"mx__{c}"]) for c in cols}
