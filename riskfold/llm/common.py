@@ -20,8 +20,15 @@ __all__ = ["prepare", "table", "cut_lineage", "fresh", "sha_hex", "text_bytes",
 SPACE = r"[^\x20\x09-\x0D]+"       # a word of the white-space tokeniser
 
 
+ARROW_BATCH_BYTES = 8 << 20     # of a batch that a Python worker gets
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and package for executors (idempotent)."""
+    """Checkpoint folder, package for executors and small Arrow batches, so that
+    a Python worker's memory does not depend on row counts (idempotent)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b")) > ARROW_BATCH_BYTES:
+        spark.conf.set(name, str(ARROW_BATCH_BYTES))
     ensure_checkpoint_dir(spark)
     ship_package(spark)
 

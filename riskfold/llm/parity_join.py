@@ -320,8 +320,10 @@ def _class_texts(docs: DataFrame, reps: DataFrame, classes: DataFrame, id_col, t
     def same(batches):                      # rows may share a doc_id: keep the class's own text
         for batch in batches:
             data, off, _ = text_bytes(batch.column("text"))
-            h, ends = shingle_sets(data, off)
-            yield batch.filter(pa.array(class_hash(h, ends) == batch.column("cls").to_numpy()))
+            for i, j in _slices(off):
+                h, ends = shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(class_hash(h, ends) == part.column("cls").to_numpy()))
     return got.mapInArrow(same, "cls long, text string").dropDuplicates(["cls"])
 
 
@@ -335,16 +337,14 @@ def _verify(docs, reps, pairs: DataFrame, id_col, text_col) -> DataFrame:
 
     def judge(batches):
         for batch in batches:
-            sets = []
-            for c in ("ta", "tb"):
-                data, off, _ = text_bytes(batch.column(c))
-                sets.append(shingle_sets(data, off))
-            (ha, ea), (hb, eb) = sets
+            (da, oa, _), (db, ob, _) = (text_bytes(batch.column(c)) for c in ("ta", "tb"))
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = ha[ea[i]:ea[i + 1]], hb[eb[i]:eb[i + 1]]
-                both_ = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both_ >= 80 * (len(x) + len(y) - both_)
+            for lo, hi in _slices(oa):
+                (ha, ea), (hb, eb) = (shingle_sets(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo]) for d, o in ((da, oa), (db, ob)))
+                for i in range(hi - lo):
+                    x, y = ha[ea[i]:ea[i + 1]], hb[eb[i]:eb[i + 1]]
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[lo + i] = 100 * same >= 80 * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
     return both.select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long")
 

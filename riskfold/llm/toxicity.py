@@ -42,7 +42,7 @@ FLOOR = 0.4
 LANDMARKS = 96
 MAX_FIT = 4000                  # labelled documents in the fit, about
 PIECE = 8                       # signs; longer words are compared in overlapping pieces
-CACHE = 400_000                 # words whose weight a task remembers
+CACHE = 200_000                 # words whose weight a task remembers
 TOP = 3                         # sentences that make a document's score
 CUTOFF = 0.3
 # digits and signs commonly written for letters
