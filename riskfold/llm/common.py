@@ -96,16 +96,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = cut_lineage(nodes.withColumn("root", F.col("node")), "cc-labels")
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut_lineage(both.groupBy(F.col("a").alias("v"))
-                         .agg(F.least(F.min("b"), F.first("a")).alias("p")), "cc-up")
+        up = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
         ra = up.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         rb = up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        e = cut_lineage(e.join(ra, "a").join(rb, "b")
-                        .select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-                        .where("a <> b").distinct(), "cc-edges")
+        left = (e.join(ra, "a").join(rb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+                .where("a <> b").distinct())
         labels = cut_lineage(
             labels.join(up.select(F.col("v").alias("root"), "p"), "root", "left")
             .select("node", F.coalesce("p", "root").alias("root")), "cc-labels")
+        e = cut_lineage(left, "cc-edges")
     return labels
 
 
