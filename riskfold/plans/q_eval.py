@@ -193,7 +193,8 @@ SELECT * FROM (WITH {_HIST_SQL.strip()}
 SELECT c.model, c.class, c.p AS threshold, c.before_pos + c.pos AS tp, c.before_neg + c.neg AS fp,
        (c.before_pos + c.pos) / t.P AS tpr, (c.before_neg + c.neg) / t.N AS fpr
 FROM cum c JOIN (SELECT model, class, sum(pos) AS P, sum(neg) AS N FROM hist GROUP BY 1, 2) t
-ON c.model = t.model AND c.class = t.class) q"""
+ON c.model = t.model AND c.class = t.class
+UNION ALL SELECT DISTINCT model, class, CAST('Infinity' AS DOUBLE), 0, 0, 0e0, 0e0 FROM hist) q"""
 
 _ROC_SCHEMA = "model string, class int, threshold double, tp bigint, fp bigint, tpr double, fpr double"
 
@@ -253,7 +254,7 @@ def q_leaderboard(spark, sf):
 
 
 @register("best_model", "best_model string, roc_auc double",
-          with_ctes(T, f"SELECT arg_max(model, roc_auc) AS best_model, max(roc_auc) AS roc_auc FROM ({_METRICS_SQL}) x"),
+          with_ctes(T, f"SELECT first(model ORDER BY roc_auc DESC, model) AS best_model, max(roc_auc) AS roc_auc FROM ({_METRICS_SQL}) x"),
           ops=(51,))
 def q_best(spark, sf):
     return EV.best_model(EV.metrics_table(SC.scored(spark, sf)))

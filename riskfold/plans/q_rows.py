@@ -63,8 +63,7 @@ CASE WHEN borrower_id % 97 = 0 THEN 'Unknown' WHEN borrower_id % 89 = 0 THEN ''
 @register("label_map_on_read", "borrower_id bigint, label_text string, Credit_Score int",
           with_ctes(B, f"""
 SELECT borrower_id, label_text,
-       CASE label_text WHEN 'Poor' THEN 0 WHEN 'Standard' THEN 1 WHEN 'Good' THEN 2
-            ELSE TRY_CAST(label_text AS INTEGER) END AS Credit_Score
+       CASE label_text WHEN 'Poor' THEN 0 WHEN 'Standard' THEN 1 WHEN 'Good' THEN 2 END AS Credit_Score
 FROM (SELECT borrower_id, {_TEXT_LABEL_SQL} AS label_text FROM borrowers) t"""), ops=(2,))
 def q_label_map(spark, sf):
     """Text labels (with unknown and empty ones) round-trip through CSV."""
