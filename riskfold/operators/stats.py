@@ -56,7 +56,9 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]], stats: dict,
         open_t = [t for t in targets if t.value is None]
         if not open_t:
             break
-        _refine(df, open_t, buckets, log=k % 3 == 2)
+        groups = _groups(open_t)
+        for i in range(0, len(groups), 64):     # keeps a pass within one compiled method
+            _refine(df, groups[i:i + 64], buckets, log=k % 3 == 2)
     out: dict[tuple[str, int], float] = {}
     for t in targets:
         if t.value is None:
@@ -72,8 +74,7 @@ def _groups(ts):
     return list(g.items())
 
 
-def _refine(df: DataFrame, ts: list[_Target], buckets: int, log: bool) -> None:
-    groups = _groups(ts)
+def _refine(df: DataFrame, groups: list, buckets: int, log: bool) -> None:
     parts = []
     for gi, ((c, lo, hi), _) in enumerate(groups):
         x = number(c)
