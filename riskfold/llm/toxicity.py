@@ -46,14 +46,17 @@ CACHE = 200_000                 # words whose weight a task remembers
 TOP = 3                         # sentences that make a document's score
 CUTOFF = 0.3
 # digits and signs commonly written for letters
-_LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
+_LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _NOT_LETTER = re.compile(r"[^\w\n]|_")
 _SPACED = re.compile(r"(?<!\S)(?:\w[\s.*_-]){2,}\w(?!\S)")
 
 
 def normalise(words: list[str]) -> list[str]:
     """Letters of each word: digits for letters undone, signs dropped."""
-    return _NOT_LETTER.sub("", "\n".join(w.translate(_LEET) for w in words)).split("\n") if words else []
+    joined = "\n".join(words)
+    for sign, letter in _LEET.items():
+        joined = joined.replace(sign, letter)
+    return _NOT_LETTER.sub("", joined).split("\n") if words else []
 
 
 def _codes(words: list[str], width: int, pad: str) -> np.ndarray:
@@ -123,11 +126,23 @@ class Landmarks:
                 out[sel] = subsequence_kernel(_codes(a, max(lo, 1), "\1"), _codes(a, max(lo, 1), "\2"))
         return out
 
+    def reachable(self, words: list[str]) -> np.ndarray:
+        """Indexes of the words of which a piece can pass ``compare``: a word has
+        all letters of its pieces, and its first piece is the longest."""
+        mask = self._masks(words) | np.uint64(1 << ord("^") % 64)
+        lens = np.minimum(np.array([len(w) for w in words], np.int64) + 1, PIECE)
+        ok = np.zeros(len(words), bool)
+        for j in range(len(self.words)):
+            ok |= ((np.bitwise_count(self.masks[j] & ~mask) <= self.missing[j])
+                   & (lens >= max(P, len(self.words[j]) - 2)))
+        return np.flatnonzero(ok)
+
     def values(self, words: list[str]):
         """Sparse (word index, landmark index, kernel) of normalised words."""
-        words, own = _pieces(words)
-        i, j, v = self.compare(words)
-        return own[i], j, v
+        near = self.reachable(words)
+        pieces, own = _pieces([words[i] for i in near.tolist()])
+        i, j, v = self.compare(pieces)
+        return near[own[i]], j, v
 
     def compare(self, words: list[str]):
         """Sparse (piece index, landmark index, kernel) of pieces."""
@@ -171,43 +186,48 @@ def spaced_words(text: str) -> list[str]:
 
 
 class WordWeights:
-    """Weight of a word under a function of sparse kernel values, remembered per
-    distinct word."""
+    """Weight of a word under a function of its (landmark, kernel value) pairs,
+    remembered per distinct word; kernel values are remembered per piece."""
 
     def __init__(self, marks: Landmarks, weight):
-        self.marks, self.weight, self.known, self.hits = marks, weight, {}, set()
+        self.marks, self.weight, self.known, self.hits, self.pieces = marks, weight, {}, set(), {}
 
     def learn(self, words) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
             self.hits.clear()
+        if len(self.pieces) > 2 * CACHE:
+            self.pieces.clear()
         new = [w for w in words if w not in self.known]
-        got: dict[int, list] = {}
-        for i, j, v in zip(*(x.tolist() for x in self.marks.values(normalise(new)))):
-            got.setdefault(i, []).append((j, v))
-        for i, w in enumerate(new):
-            self.known[w] = x = self.weight(got[i]) if i in got else None
+        self.known.update(dict.fromkeys(new))
+        plain = normalise(new)
+        near = self.marks.reachable(plain).tolist()
+        pieces, own = _pieces([plain[i] for i in near])
+        unseen = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
+        self.pieces.update(dict.fromkeys(unseen, ()))
+        for i, j, v in zip(*(x.tolist() for x in self.marks.compare(unseen))):
+            self.pieces[unseen[i]] += ((j, v),)
+        got: dict[int, tuple] = {}
+        for p, i in zip(pieces, own.tolist()):
+            if self.pieces[p]:
+                got[near[i]] = got.get(near[i], ()) + self.pieces[p]
+        for i, jv in got.items():
+            x = self.weight(jv)
             if x is not None:
-                self.hits.add(w)
+                self.known[new[i]] = x
+                self.hits.add(new[i])
 
 
-def sentences(text: str, spaced: list[str], known: dict) -> list[list]:
+def sentences(words: list[str], spaced: list[str], ww: WordWeights) -> list[list]:
     """Weights of the words with one, per sentence that has any; words written
     as single letters are sentences of their own."""
-    out, cur = [], []
-    for w in text.split():
-        x = known.get(w)
-        if x is not None:
-            cur.append(x)
-        if w[-1] in ".!?" and cur:
-            out.append(cur)
-            cur = []
-    if cur:
-        out.append(cur)
-    for w in spaced:
-        if known.get(w) is not None:
-            out.append([known[w]])
-    return out
+    out, last = [], None
+    for i in [i for i, w in enumerate(words) if w in ww.hits]:
+        if last is None or any(w[-1] in ".!?" for w in words[last:i]):
+            out.append([])
+        out[-1].append(ww.known[words[i]])
+        last = i
+    return out + [[ww.known[w]] for w in spaced if w in ww.hits]
 
 
 def top_sum(scores) -> float:
@@ -215,12 +235,8 @@ def top_sum(scores) -> float:
     return float(sum(sorted((x for x in scores if x > 0), reverse=True)[:TOP]))
 
 
-def _vocabulary(texts, spaced) -> set:
-    words: set[str] = set()
-    for t, s in zip(texts, spaced):
-        words.update(t.split())
-        words.update(s)
-    return words
+def _vocabulary(words, spaced) -> set:
+    return set().union(*words, *spaced)
 
 
 def landmark_words(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
@@ -232,7 +248,8 @@ def landmark_words(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
     ws = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
     pairs = F.transform("ws", lambda w, i: F.struct(
         w.alias("w"), F.xxhash64(F.when(i > 0, F.get("ws", i - 1)).otherwise("")).alias("before")))
-    d = sample.select("y", ws.alias("ws")).select("y", F.explode(F.array_distinct(pairs)).alias("x"))
+    # distinct() below drops repeats: array_distinct compares structs pair by pair
+    d = sample.select("y", ws.alias("ws")).select("y", F.explode(pairs).alias("x"))
     n_letters = F.array(*[F.lit(k) for k in range(3, PIECE)])
     d = d.where(F.length("x.w") >= 4).select("y", "x.w", "x.before", F.explode(n_letters).alias("k"))
     d = d.where("k <= length(w)").select("y", F.expr("substring(w, 1, k)").alias("w"), "before").distinct()
@@ -273,11 +290,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit: i
         for batch in batches:
             texts = [(x or "").lower() for x in batch.column("text").to_pylist()]
             spaced = [spaced_words(t_) for t_ in texts]
-            ww.learn(_vocabulary(texts, spaced))
+            split = [t_.split() for t_ in texts]
+            ww.learn(_vocabulary(split, spaced))
             rows = []
-            for t_, sp in zip(texts, spaced):
+            for t_, sp in zip(split, spaced):
                 ss = []
-                for s in sentences(t_, sp, ww.known):
+                for s in sentences(t_, sp, ww):
                     v: dict[int, float] = {}
                     for jv in s:
                         for j, x in jv:
@@ -336,10 +354,10 @@ def scorer(model: dict):
         best = np.zeros(len(texts))
         if model["words"]:
             spaced = [spaced_words(t) for t in texts]
-            ww.learn(_vocabulary(texts, spaced))
-            for i, (t, sp) in enumerate(zip(texts, spaced)):
-                if sp or not ww.hits.isdisjoint(t.split()):
-                    best[i] = top_sum([sum(s) for s in sentences(t, sp, ww.known)])
+            words = [t.split() for t in texts]
+            ww.learn(_vocabulary(words, spaced))
+            for i, (t, sp) in enumerate(zip(words, spaced)):
+                best[i] = top_sum([sum(s) for s in sentences(t, sp, ww)])
         return 1 / (1 + np.exp(-np.clip(model["a"] * (best + model["bias"]) + model["b"], -40, 40)))
     return score
 
