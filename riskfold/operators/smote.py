@@ -31,7 +31,8 @@ def smote(train: DataFrame, features: list[str], label: str = C.LABEL, id_col: s
     originals = base.withColumn("source", F.lit("original"))
     if not need:
         return originals
-    nn = knn_join(base, base, k, features, qid=id_col, rid=id_col, group=label,
+    small = base.where(F.col(label).isin(list(need)))   # only these classes are drawn from
+    nn = knn_join(small, small, k, features, qid=id_col, rid=id_col, group=label,
                   exclude_self=True, cell_rows=cell_rows)
     nn_id = f"{id_col}_nn"
     ranked = class_rank(base, label, md5_key(id_col, seed), rank_col="__base_rank", count_col=None)

@@ -18,14 +18,14 @@ from .registry import register
                                  "FROM appsc"), ops=(86,))
 def q_stream(spark, sf):
     """Applications (borrower inputs without label) are written by Spark as
-    several parquet files; a stream scores them with state fitted on the
+    parquet files; a stream scores them with state fitted on the
     training rows; the batch scorer gives the same rows (the SQL oracle)."""
     split = PL.split_borrowers(spark, sf)
     prep, state = PL.fit_prepare(split)
     nb = gaussian_nb_fit(prep.filter(F.col("split") == "train"), C.ALL_FEATURES)
     apps = split.drop(C.LABEL, "split", "fold5", "fold3")
     src = files.scratch_path(spark, "applications")
-    apps.repartition(4).write.mode("overwrite").parquet(src)
+    apps.write.mode("overwrite").parquet(src)
     out = files.scratch_path(spark, "stream-out")
     ckpt = files.scratch_path(spark, "stream-ckpt")
     return run_stream(spark, src, apps.schema, state, nb, out, ckpt)
