@@ -36,6 +36,14 @@ def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(r, on, how).drop(*[f"__on_{c}" for c in cols])
 
 
+def _free(name: str, taken) -> str:
+    """``name`` with underscores appended while a column already uses it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def class_rank(df: DataFrame, class_col: str = C.LABEL, key: Column | None = None,
                rank_col: str = "rank", count_col: str | None = "class_n",
                rows_per_range: int = 2_000_000) -> DataFrame:
@@ -43,46 +51,48 @@ def class_rank(df: DataFrame, class_col: str = C.LABEL, key: Column | None = Non
 
     Rows of a NULL class are ranked among themselves."""
     key = key if key is not None else md5_key()
-    d = df.withColumn("__k", key)
+    taken = [*df.columns, rank_col, count_col or rank_col]
+    k, p, r, off, local, c = (_free(n, taken) for n in ("__rk_key", "__rk_part", "__rk_range", "__rk_offset",
+                                                         "__rk_local", "__rk_n"))
+    d = df.withColumn(k, key)
     # 60-bit numeric prefix of the hex key, scaled to [0, 1): monotone in the key
-    prefix = F.conv(F.substring("__k", 1, 15), 16, 10).cast("double") / float(16 ** 15)
-    d = d.withColumn("__p", prefix)
-    counts = {r[0]: r[1] for r in d.groupBy(class_col).agg(F.count(F.lit(1))).collect()}  # one row per class
+    prefix = F.conv(F.substring(k, 1, 15), 16, 10).cast("double") / float(16 ** 15)
+    d = d.withColumn(p, prefix)
+    counts = {row[0]: row[1] for row in d.groupBy(class_col).agg(F.count(F.lit(1))).collect()}  # one row per class
     most = max(1, math.ceil(max(counts.values(), default=0) / rows_per_range))
-    cuts: dict = {k: [] for k in counts}
+    cuts: dict = {v: [] for v in counts}
     if most > 1:
         # range cut points per class from approximate quantiles (bounded state)
         probs = [i / most for i in range(1, most)]
-        qs = d.groupBy(class_col).agg(F.percentile_approx("__p", probs, 10_000).alias("__q")).collect()
-        cuts = {r[0]: sorted({c for c in r[1] if 0.0 < c < 1.0}) for r in qs}
+        qs = d.groupBy(class_col).agg(F.percentile_approx(p, probs, 10_000)).collect()
+        cuts = {row[0]: sorted({x for x in row[1] if 0.0 < x < 1.0}) for row in qs}
     # one sorted split list for all classes: class i occupies [2i, 2i+1)
-    classes = sorted(cuts, key=lambda k: (k is None, 0 if k is None else k))
+    classes = sorted(cuts, key=lambda v: (v is None, 0 if v is None else v))
     at = F.lit(0.0)
-    for i, k in enumerate(classes):
-        same = F.col(class_col).isNull() if k is None else F.col(class_col).eqNullSafe(F.lit(k))
+    for i, v in enumerate(classes):
+        same = F.col(class_col).isNull() if v is None else F.col(class_col).eqNullSafe(F.lit(v))
         at = F.when(same, F.lit(2.0 * i)).otherwise(at)
     splits = sorted({-float("inf"), float("inf"), *[2.0 * i for i in range(len(classes))],
-                     *[2.0 * i + c for i, k in enumerate(classes) for c in cuts[k]]} | {0.0})
+                     *[2.0 * i + x for i, v in enumerate(classes) for x in cuts[v]]} | {0.0})
     from pyspark.ml.feature import Bucketizer  # binary search per row
-    d = d.withColumn("__kp", at + F.col("__p"))
-    d = (Bucketizer(splits=splits, inputCol="__kp", outputCol="__rb", handleInvalid="keep")
-         .transform(d).withColumn("__r", F.col("__rb").cast("int")).drop("__kp", "__rb"))
+    d = d.withColumn(p, at + F.col(p))
+    d = (Bucketizer(splits=splits, inputCol=p, outputCol=r, handleInvalid="keep")
+         .transform(d).withColumn(r, F.col(r).cast("int")).drop(p))
     # rows of the class in earlier ranges (table of size classes x ranges)
-    rc = d.groupBy(class_col, "__r").agg(F.count(F.lit(1)).alias("__c"))
-    wo = Window.partitionBy(class_col).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    offs = rc.withColumn("__off", F.coalesce(F.sum("__c").over(wo), F.lit(0))).drop("__c")
-    w = Window.partitionBy(class_col, "__r").orderBy("__k")
-    ranked = d.withColumn("__local", F.row_number().over(w) - 1)
-    out = (_join_null_safe(ranked, offs, [class_col, "__r"])
-           .withColumn(rank_col, F.col("__off") + F.col("__local"))
-           .drop("__p", "__r", "__off", "__local"))
+    rc = d.groupBy(class_col, r).agg(F.count(F.lit(1)).alias(c))
+    wo = Window.partitionBy(class_col).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
+    offs = rc.withColumn(off, F.coalesce(F.sum(c).over(wo), F.lit(0))).drop(c)
+    w = Window.partitionBy(class_col, r).orderBy(k)
+    ranked = d.withColumn(local, F.row_number().over(w) - 1)
+    out = (_join_null_safe(ranked, offs, [class_col, r])
+           .withColumn(rank_col, F.col(off) + F.col(local)).drop(r, off, local, k))
     if count_col:
         n = F.lit(None).cast("bigint")
-        for k, v in counts.items():
-            same = F.col(class_col).isNull() if k is None else F.col(class_col).eqNullSafe(F.lit(k))
-            n = F.when(same, F.lit(v)).otherwise(n)
+        for v, number in counts.items():
+            same = F.col(class_col).isNull() if v is None else F.col(class_col).eqNullSafe(F.lit(v))
+            n = F.when(same, F.lit(number)).otherwise(n)
         out = out.withColumn(count_col, n.cast("bigint"))
-    return out.drop("__k")
+    return out
 
 
 def running_sums(df: DataFrame, part_cols: list[str], order_col: str, value_cols: list[str],

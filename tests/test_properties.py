@@ -20,8 +20,8 @@ def test_exact_quantiles_match_numpy_with_refinement(spark):
     pdf = pd.DataFrame({"x": x, "y": rng.integers(0, 5, len(x)).astype(float)})
     df = spark.createDataFrame(pdf).withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    # tiny collect limit forces several histogram refinement passes
-    q = exact_quantiles(df, ["x", "y"], probs, buckets=8, collect_limit=50)
+    # few buckets force several histogram refinement passes
+    q = exact_quantiles(df, ["x", "y"], probs, buckets=8)
     for c in ("x", "y"):
         v = pdf[c].dropna().to_numpy()
         for p in probs:
@@ -157,3 +157,18 @@ def test_stream_equals_batch(spark):
     cols = [C.ID, "score", "pred", "band"]
     assert out.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert out.count() == batch.count() == apps.count()
+
+
+def test_permuted_rows_deal_each_column_anew(spark):
+    from riskfold.operators.explain import permuted_rows
+    rows = spark.range(200).select(F.col("id").alias(C.ID), (F.col("id") * 1.0).alias("a"),
+                                   (F.col("id") % 7 + 0.5).alias("b"), (F.col("id") % 3).cast("int").alias("rank"))
+    out = permuted_rows(rows, ["a", "b"]).toPandas()
+    assert sorted(out["model"].unique()) == ["", "a", "b"] and len(out) == 600
+    for f, other in (("a", "b"), ("b", "a")):
+        p = out[out["model"] == f].set_index(C.ID).sort_index()
+        assert sorted(p[f]) == sorted(out[out["model"] == ""][f])
+        assert (p[f].to_numpy() != out[out["model"] == ""].set_index(C.ID).sort_index()[f].to_numpy()).any()
+        assert (p[other].to_numpy() == out[out["model"] == ""].set_index(C.ID).sort_index()[other].to_numpy()).all()
+    again = permuted_rows(rows.repartition(7), ["a", "b"]).toPandas()
+    assert sorted(map(tuple, again[out.columns].to_numpy().tolist())) == sorted(map(tuple, out.to_numpy().tolist()))
