@@ -14,11 +14,10 @@ def knn_vote(queries: DataFrame, train: DataFrame, features: list[str], k: int =
              cell_rows: int = 4096) -> DataFrame:
     """Adds p0..p{n-1} (share of neighbours per class) and ``pred`` (largest
     share, ties to the lowest class) to the query rows."""
-    nn = knn_join(queries, train, k, features, qid=id_col, rid=id_col, cell_rows=cell_rows)
-    nn_col = f"{id_col}_nn"
-    lab = train.select(F.col(id_col).alias(nn_col), F.col(label).alias("__lab"))
-    votes = (nn.join(lab, nn_col).groupBy(id_col)
-             .agg(*[F.count(F.when(F.col("__lab") == c, 1)).alias(f"__n{c}") for c in range(n_classes)]))
+    nn = knn_join(queries, train, k, features, qid=id_col, rid=id_col, carry=label, cell_rows=cell_rows)
+    # the neighbours of a query are already in one partition
+    votes = nn.groupBy(id_col).agg(*[F.count(F.when(F.col(f"{label}_nn") == c, 1)).alias(f"__n{c}")
+                                     for c in range(n_classes)])
     counts = [F.col(f"__n{c}") for c in range(n_classes)]
     votes = votes.select(id_col, *[(F.col(f"__n{c}") / float(k)).alias(f"p{c}") for c in range(n_classes)],
                          argmax_first(counts).cast("int").alias("pred"))

@@ -1,36 +1,41 @@
-"""Exact k-nearest-neighbour join without forming all pairs.
+"""Exact k-nearest-neighbour join, one distributed path for every size.
 
 Pivot partitioning with triangle-inequality pruning (the metric-space kNN
-join of Lu et al., VLDB 2012):
-
-1. ``P ~ n_ref / cell_rows`` pivots are chosen deterministically (smallest
-   md5 of the reference id, a bounded top-P); each reference row goes to its
-   nearest pivot (its *cell*), and every cell records its radius.
-2. Round 1: each query is joined with the references of its ``probe`` nearest
-   cells; the k best give a bound d_k (the top-k per query is a
-   ``row_number() <= k`` filter, which Spark turns into a partial top-k before
-   the shuffle).
-3. Round 2: a cell j can only hold a closer reference if
-   dist(q, pivot_j) - radius_j <= d_k. Exactly those cells are added, so the
-   result equals the brute-force answer (ties broken by reference id).
-
-Distances to the P pivots are computed with numpy inside ``mapInPandas``
-(Arrow batches, chunked); everything else is Spark joins and windows. The
-join key is (group, cell), so AQE's skew-join splitting applies to oversized
-cells.
+join of Lu et al., VLDB 2012), worked off in blocks:
+
+1. Identical reference vectors of a group become one *vector* that carries its
+   smallest ids (never more than can be needed), so a value held by a third of
+   the rows costs one comparison a query.
+2. Pivots are vectors taken by the smallest md5 (a bounded top-P). Each vector
+   goes to its nearest pivot, its *cell*; a cell records its radius per group.
+3. Round 1: each query is compared with its ``probe`` nearest cells; the k best
+   give a bound d_k. Round 2: a cell can only hold a closer vector if
+   dist(q, pivot) - radius <= d_k; exactly those cells are compared as well, so
+   the result is that of brute force (ties broken by reference id).
+4. A cell's queries and vectors are dealt into blocks of at most ``block`` rows;
+   a task gets one block of each (the unit), finds the k best of every query with
+   numpy and returns only those. ``row_number() <= k`` merges the units: Spark
+   keeps a partial top-k before that shuffle.
+
+Nothing but pivots and radii (P and P x groups rows, bounded by MAX_PIVOTS)
+passes through the driver. A row with a NULL or NaN feature, id or group takes
+no part, on either side: queries of this kind get no neighbours.
 """
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-MAX_PIVOTS = 20_000
-_CHUNK = 2048
+from ..session import cut_lineage
+
+MAX_PIVOTS = 4096
+BLOCK_ROWS = 2048
+_PIVOT_BYTES = 32 << 20         # of a distance matrix to the pivots
 
 
 def euclidean(a_cols: list[Column], b_cols: list[Column]) -> Column:
@@ -41,195 +46,214 @@ def euclidean(a_cols: list[Column], b_cols: list[Column]) -> Column:
     return F.sqrt(acc)
 
 
-def _choose_pivots(refs: DataFrame, rid: str, features: list[str], n_pivots: int) -> np.ndarray:
-    key = F.md5(F.concat(F.col(rid).cast("string"), F.lit("-pivot")))
-    rows = (refs.select(key.alias("__h"), *features).orderBy("__h").limit(n_pivots)
-            .select(*features).collect())  # bounded: n_pivots <= MAX_PIVOTS
-    return np.array([[float(v) for v in r] for r in rows], dtype=np.float64)
-
-
-def _pivot_dist(x: np.ndarray, piv: np.ndarray) -> np.ndarray:
-    # |x - p|^2 via the explicit difference (no cancellation from x.x - 2x.p + p.p)
-    out = np.empty((x.shape[0], piv.shape[0]))
-    for s in range(0, x.shape[0], _CHUNK):
-        d = x[s:s + _CHUNK, None, :] - piv[None, :, :]
-        out[s:s + _CHUNK] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
-
-
-def _assign_cells(refs: DataFrame, features: list[str], piv: np.ndarray) -> DataFrame:
-    schema = StructType(list(refs.schema.fields) + [StructField("__cell", IntegerType()),
-                                                    StructField("__dpiv", DoubleType())])
-
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[features].to_numpy(dtype=np.float64)
-            d = _pivot_dist(x, piv)
-            j = d.argmin(axis=1)
-            pdf = pdf.copy()
-            pdf["__cell"] = j.astype("int32")
-            pdf["__dpiv"] = d[np.arange(len(j)), j]
-            yield pdf
-    return refs.mapInPandas(fn, schema)
-
-
-def _probe_cells(queries: DataFrame, qid: str, features: list[str], piv: np.ndarray,
-                 radius: dict, group: str | None, mode: str, probe: int) -> DataFrame:
-    """(qid, group, cell) rows: the ``probe`` nearest cells (mode='near') or
-    every cell that can still hold a neighbour within ``__dk`` (mode='prune',
-    excluding the ``probe`` nearest ones already searched)."""
-    gtype = queries.schema[group].dataType.simpleString() if group else "int"
-    qtype = queries.schema[qid].dataType.simpleString()
-    schema = f"{qid} {qtype}, __g {gtype}, __cell int"
-    keys = sorted(radius)  # (group, cell)
-    by_group: dict = {}
-    for g, c in keys:
-        by_group.setdefault(g, []).append(c)
-    cols = [qid] + ([group] if group else []) + features + (["__dk"] if mode == "prune" else [])
-
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[features].to_numpy(dtype=np.float64)
-            d = _pivot_dist(x, piv)
-            out_q, out_g, out_c = [], [], []
-            gs = pdf[group].to_numpy() if group else np.zeros(len(pdf), dtype=int)
-            for i in range(len(pdf)):
-                g = gs[i].item() if hasattr(gs[i], "item") else gs[i]
-                cells = by_group.get(g if group else 0, [])
-                if not cells:
-                    continue
-                cells_arr = np.asarray(cells)
-                dc = d[i, cells_arr]
-                order = np.lexsort((cells_arr, dc))
-                near = cells_arr[order[:probe]]
-                if mode == "near":
-                    sel = near
-                else:
-                    dk = pdf["__dk"].iat[i]
-                    rad = np.array([radius[(g if group else 0, c)] for c in cells_arr])
-                    keep = (dc - rad <= dk) if np.isfinite(dk) else np.ones(len(cells_arr), bool)
-                    keep[order[:probe]] = False
-                    sel = cells_arr[keep]
-                out_q.extend([pdf[qid].iat[i]] * len(sel))
-                out_g.extend([g] * len(sel))
-                out_c.extend(int(c) for c in sel)
-            if out_q:
-                yield pd.DataFrame({qid: out_q, "__g": out_g, "__cell": np.asarray(out_c, dtype="int32")})
-    return queries.select(*cols).mapInPandas(fn, schema)
-
-
-BROADCAST_MAX_VALUES = 8_000_000  # reference rows x (features + 2) doubles (~64 MB)
-
-
-def _knn_broadcast(queries: DataFrame, refs: DataFrame, k: int, features: list[str], qid: str, rid: str,
-                   group: str | None, exclude_self: bool, out_rid: str) -> DataFrame:
-    """Exact brute force against a broadcast reference set whose size was
-    checked by the caller. Squared differences are accumulated feature by
-    feature (the order of the Spark/SQL expression), so distances and
-    id tie-breaks are identical to the SQL form."""
-    cols = [rid] + ([group] if group else []) + features
-    pdf = refs.select(*[F.col(c).cast("double") if c in features else F.col(c) for c in cols]).toPandas()
-    bc = queries.sparkSession.sparkContext.broadcast({
-        "rid": pdf[rid].to_numpy(), "grp": pdf[group].to_numpy() if group else None,
-        "x": pdf[features].to_numpy(dtype=np.float64)})
-    qtype = queries.schema[qid].dataType.simpleString()
-    rtype = refs.schema[rid].dataType.simpleString()
-    schema = f"{qid} {qtype}, {out_rid} {rtype}, dist double, nn_rank int"
-    qcols = [qid] + ([group] if group else []) + features
-
-    def fn(batches):
-        ref = bc.value
-        rids, grp, xr = ref["rid"], ref["grp"], ref["x"]
+def _rows(df: DataFrame, id_col: str, features: list[str], group: str | None, carry: str | None = None) -> DataFrame:
+    """(id, g, v, c) of the rows that take part."""
+    v = F.array(*[F.col(f).cast("double") for f in features])
+    d = df.select(F.col(id_col).alias("id"), (F.col(group) if group else F.lit(0)).alias("g"), v.alias("v"),
+                  (F.col(carry) if carry else F.lit(0)).alias("c"))
+    return d.where(F.col("id").isNotNull() & F.col("g").isNotNull()
+                   & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+
+
+def _vectors(refs: DataFrame, n_ids: int) -> DataFrame:
+    """(g, v, ids): distinct vectors with their ``n_ids`` smallest (id, c)."""
+    w = Window.partitionBy("g", "v").orderBy("id")
+    first = refs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n_ids)
+    return (first.groupBy("g", "v")                         # at most n_ids each
+            .agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("ids")))
+
+
+def _matrix(column) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(flat)
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances, squares added feature by feature (as the SQL does)."""
+    acc = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        d = x[:, j:j + 1] - y[None, :, j]
+        acc += d * d
+    return np.sqrt(acc)
+
+
+def _choose_pivots(vectors: DataFrame, n_pivots: int) -> np.ndarray:
+    key = F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))))
+    rows = vectors.select(key.alias("k"), "v").orderBy("k", "v").limit(n_pivots).collect()   # <= MAX_PIVOTS
+    return np.array([r["v"] for r in rows], dtype=np.float64)
+
+
+def _in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Vectors with ``cell``, their nearest pivot, and the distance to it."""
+    step = max(1, _PIVOT_BYTES // (8 * len(pivots)))
+
+    def run(batches):
         for b in batches:
-            for s0 in range(0, len(b), 256):
-                pdf_q = b.iloc[s0:s0 + 256]
-                xq = pdf_q[features].to_numpy(dtype=np.float64)
-                acc = np.zeros((len(pdf_q), len(rids)))
-                for j in range(len(features)):
-                    d = xq[:, j:j + 1] - xr[None, :, j]
-                    acc = acc + d * d
-                dist = np.sqrt(acc)
-                if group:
-                    dist[pdf_q[group].to_numpy()[:, None] != grp[None, :]] = np.inf
-                if exclude_self:
-                    dist[pdf_q[qid].to_numpy()[:, None] == rids[None, :]] = np.inf
-                out_q, out_r, out_d, out_k = [], [], [], []
-                for i in range(len(pdf_q)):
-                    row = dist[i]
-                    kk = min(k, int(np.isfinite(row).sum()))
-                    if kk == 0:
-                        continue
-                    kth = np.partition(row, kk - 1)[kk - 1]
-                    cand = np.where(row <= kth)[0]
-                    best = cand[np.lexsort((rids[cand], row[cand]))][:kk]
-                    out_q += [pdf_q[qid].iat[i]] * kk
-                    out_r += list(rids[best])
-                    out_d += list(row[best])
-                    out_k += list(range(1, kk + 1))
-                if out_q:
-                    yield pd.DataFrame({qid: out_q, out_rid: out_r, "dist": out_d,
-                                        "nn_rank": np.asarray(out_k, dtype="int32")})
-    return queries.select(*qcols).mapInPandas(fn, schema)
-
-
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, features: list[str],
-             qid: str, rid: str, group: str | None = None, exclude_self: bool = False,
-             cell_rows: int = 4096, probe: int = 2,
-             broadcast_max_values: int | None = None) -> DataFrame:
-    """Exact k nearest references per query: (qid, rid, dist, nn_rank).
+            x = _matrix(b.column("v"))
+            cell, dist = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for s in range(0, len(x), step):
+                d = distances(x[s:s + step], pivots)
+                cell[s:s + step] = d.argmin(1)
+                dist[s:s + step] = d.min(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)],
+                                             names=[*b.schema.names, "cell", "dp"])
+    from pyspark.sql import types as T
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()),
+                                                 T.StructField("dp", T.DoubleType())]))
+
+
+def _to_cells(queries: DataFrame, pivots: np.ndarray, radius: dict, probe: int, pruned: bool) -> DataFrame:
+    """A row (id, g, v, cell) for each cell a query is compared with: the
+    ``probe`` nearest of its group, or with ``pruned`` all others that can hold
+    a vector within ``dk``."""
+    place = {g: k for k, g in enumerate(sorted({g for g, _ in radius}))}
+    reach = np.full((len(place), len(pivots)), -np.inf)     # radius; -inf: no vector of the group
+    for (g, c), r in radius.items():
+        reach[place[g], c] = r
+    step = max(1, _PIVOT_BYTES // (8 * len(pivots)))
+    cols = ["id", "g", "v"]
+
+    def run(batches):
+        for b in batches:
+            gs = np.array([place.get(g, -1) for g in b.column("g").to_pylist()], np.int64)
+            x = _matrix(b.column("v"))
+            for s in range(0, len(x), step):
+                g = gs[s:s + step]
+                d = distances(x[s:s + step], pivots)
+                r = np.where(g[:, None] >= 0, reach[g], -np.inf)
+                d = np.where(np.isinf(r), np.inf, d)
+                order = np.argsort(d, axis=1, kind="stable")[:, :probe]
+                near = np.zeros(d.shape, bool)
+                near[np.arange(len(d))[:, None], order] = True
+                near &= np.isfinite(d)
+                if pruned:
+                    dk = b.column("dk").to_numpy(zero_copy_only=False)[s:s + step].astype(float)
+                    # a little slack: sums are rounded
+                    near = np.isfinite(d) & ~near & (d - r <= dk[:, None] * (1 + 1e-9) + 1e-9)
+                i, c = np.nonzero(near)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [*[b.column(k).take(pa.array(i + s)) for k in cols], pa.array(c.astype(np.int32))],
+                        names=[*cols, "cell"])
+    from pyspark.sql import types as T
+    keep = queries if pruned else queries.select(*cols)
+    return keep.mapInArrow(run, T.StructType([*[queries.schema[c] for c in cols],
+                                              T.StructField("cell", T.IntegerType())]))
+
+
+def _best_of_unit(k: int, exclude_self: bool, types):
+    """The k best references of every query of a unit."""
+    names = ["id", "rid", "c", "dist"]
+
+    def unit(t: pa.Table) -> pa.Table:
+        q = t.filter(t.column("ids").is_null())
+        r = t.filter(t.column("ids").is_valid())
+        if not len(q) or not len(r):
+            return pa.Table.from_arrays([pa.array([], x) for x in types], names=names)
+        x, y = _matrix(q.column("v")), _matrix(r.column("v"))
+        qid = q.column("id").combine_chunks()
+        lists = r.column("ids").combine_chunks()
+        counts = np.asarray(lists.value_lengths()).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        flat, carried = lists.flatten().flatten()
+        rank = np.empty(len(flat), np.int64)                # order of the ids, whatever their type
+        rank[np.asarray(pa.compute.sort_indices(flat))] = np.arange(len(flat))
+        out = []
+        for s in range(0, len(x), 256):
+            d = distances(x[s:s + 256], y)
+            m = min(k + int(exclude_self), d.shape[1])
+            kth = np.partition(d, m - 1, axis=1)[:, m - 1:m]
+            i, j = np.nonzero(d <= kth)
+            n = counts[j]
+            place = np.repeat(begin[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            i, dist = np.repeat(i, n), np.repeat(d[i, j], n)
+            if exclude_self:
+                other = np.asarray(pa.compute.not_equal(flat.take(pa.array(place)), qid.take(pa.array(i + s))))
+                i, dist, place = i[other], dist[other], place[other]
+            order = np.lexsort((rank[place], dist, i))
+            i, dist, place = i[order], dist[order], place[order]
+            first = np.searchsorted(i, i)
+            keep = np.arange(len(i)) - first < k
+            out.append((i[keep] + s, place[keep], dist[keep]))
+        i, place, dist = (np.concatenate(c) for c in zip(*out))
+        place = pa.array(place)
+        return pa.Table.from_arrays([qid.take(pa.array(i)), flat.take(place), carried.take(place), pa.array(dist)],
+                                    names=names)
+    return unit
+
+
+def _compare(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """(id, rid, dist): the k best of each query and unit, cells in blocks."""
+    queries = cut_lineage(queries, "knn-queries")
+    sizes = (vectors.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nr"))
+             .join(queries.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nq")), ["g", "cell"])
+             .select("g", "cell", F.ceil(F.col("nr") / block).cast("int").alias("br"),
+                     F.ceil(F.col("nq") / block).cast("int").alias("bq")))
+    sizes = F.broadcast(sizes)                              # at most MAX_PIVOTS x groups rows
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    id_type = queries.schema["id"].dataType
+    ids_type = vectors.schema["ids"].dataType.simpleString()
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = (queries.join(sizes, ["g", "cell"]).withColumn("i", own("id", "bq")).withColumn("j", every("br"))
+            .select("g", "cell", "i", "j", "id", "v", F.lit(None).cast(ids_type).alias("ids")))
+    right = (vectors.join(sizes, ["g", "cell"]).withColumn("j", own("v", "br")).withColumn("i", every("bq"))
+             .select("g", "cell", "i", "j", F.lit(None).cast(id_type).alias("id"), "v", "ids"))
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+    ref = vectors.schema["ids"].dataType.elementType
+    out = T.StructType([T.StructField("id", id_type), T.StructField("rid", ref["id"].dataType),
+                        T.StructField("c", ref["c"].dataType), T.StructField("dist", T.DoubleType())])
+    unit = _best_of_unit(k, exclude_self, [to_arrow_type(f.dataType) for f in out])
+    return left.unionByName(right).groupBy("g", "cell", "i", "j").applyInArrow(unit, out)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy("dist", "rid")
+    return found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, features: list[str], qid: str, rid: str,
+             group: str | None = None, exclude_self: bool = False, carry: str | None = None, cell_rows: int = 4096,
+             probe: int = 2, block: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """Exact k nearest references per query: (qid, rid, dist, nn_rank), and with
+    ``carry`` that column of the reference (named like it, ``_nn`` appended).
 
     ``group``: only references of the same group qualify (e.g. the class, for
     oversampling). ``exclude_self``: a query never matches the reference with
-    the same id (self-join). ``rid`` must be unique among references.
-    """
+    the same id (self-join). Ids must be unique on each side. The sizes
+    (``cell_rows``, ``probe``, ``block``, ``max_pivots``) split the work and
+    leave the result as it is."""
     from ..session import ship_package
     ship_package(queries.sparkSession)
-    rcols = [F.col(rid).alias("__rid")] + ([F.col(group).alias("__rg")] if group else []) \
-        + [F.col(f).cast("double").alias(f"__r_{f}") for f in features]
-    r = refs.select(*rcols)
-    n_ref = r.count()
-    limit = BROADCAST_MAX_VALUES if broadcast_max_values is None else broadcast_max_values
-    if n_ref * (len(features) + 2) <= limit:  # size checked: broadcast brute force
-        return _knn_broadcast(queries, refs, k, features, qid, rid, group, exclude_self,
-                              rid if rid != qid else f"{rid}_nn")
-    n_piv = max(1, min(MAX_PIVOTS, math.ceil(n_ref / cell_rows)))
-    piv = _choose_pivots(refs.select(rid, *[F.col(f).cast("double").alias(f) for f in features]),
-                         rid, features, n_piv)
-    rf = [f"__r_{f}" for f in features]
-    r_cells = _assign_cells(r.withColumnsRenamed(dict(zip(rf, features))), features, piv)
-    r_cells = r_cells.withColumnsRenamed(dict(zip(features, rf)))
-    if not group:
-        r_cells = r_cells.withColumn("__rg", F.lit(0))
-    rad = {(row[0], row[1]): row[2] for row in
-           r_cells.groupBy("__rg", "__cell").agg(F.max("__dpiv")).collect()}  # groups x cells rows
-    q = queries.select(F.col(qid), *([F.col(group)] if group else []),
-                       *[F.col(f).cast("double").alias(f) for f in features])
-
-    def candidates(cells: DataFrame) -> DataFrame:
-        c = cells.join(q, qid)
-        j = c.join(r_cells, (c["__g"] == r_cells["__rg"]) & (c["__cell"] == r_cells["__cell"]))
-        if exclude_self:
-            j = j.filter(F.col("__rid") != F.col(qid))
-        return j.select(F.col(qid), F.col("__rid"),
-                        euclidean([F.col(f) for f in features], [F.col(x) for x in rf]).alias("__dist"))
-
-    def top_k(c: DataFrame) -> DataFrame:
-        w = Window.partitionBy(qid).orderBy("__dist", "__rid")
-        return c.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k)
-
-    near = _probe_cells(queries, qid, features, piv, rad, group, "near", probe)
-    first = top_k(candidates(near))
-    if n_piv <= probe:  # every cell already searched: exact
-        best = first
+    rname = rid if rid != qid else f"{rid}_nn"
+    q = _rows(queries, qid, features, group).drop("c")
+    vectors = cut_lineage(_vectors(_rows(refs, rid, features, group, carry), k + int(exclude_self)), "knn-vectors")
+    n = vectors.count()
+    if n == 0:
+        best = q.select("id", F.lit(None).cast(refs.schema[rid].dataType).alias("rid"),
+                        F.lit(None).cast(refs.schema[carry].dataType if carry else "int").alias("c"),
+                        F.lit(0.0).alias("dist"), F.lit(0).alias("nn_rank")).limit(0)
     else:
-        dk = first.groupBy(qid).agg(F.max(F.when(F.col("__rank") == k, F.col("__dist"))).alias("__dk"))
-        qk = (queries.select(qid, *([group] if group else []), *features)
-              .join(dk, qid, "left").fillna(float("inf"), subset=["__dk"]))
-        more = _probe_cells(qk, qid, features, piv, rad, group, "prune", probe)
-        best = top_k(first.select(qid, "__rid", "__dist").unionByName(candidates(more)))
-    return best.select(F.col(qid), F.col("__rid").alias(rid if rid != qid else f"{rid}_nn"),
-                       F.col("__dist").alias("dist"), F.col("__rank").alias("nn_rank"))
+        best = _nearest(q, vectors, n, k, exclude_self, cell_rows, probe, block, max_pivots)
+    return best.select(F.col("id").alias(qid), F.col("rid").alias(rname), "dist", "nn_rank",
+                       *([F.col("c").alias(f"{carry}_nn")] if carry else []))
+
+
+def _nearest(q, vectors, n, k, exclude_self, cell_rows, probe, block, max_pivots) -> DataFrame:
+    """(id, rid, c, dist, nn_rank) by the two rounds."""
+    pivots = _choose_pivots(vectors, max(1, min(max_pivots, math.ceil(n / cell_rows))))
+    cells = _in_cells(vectors, pivots)
+    if len(pivots) > 1:
+        cells = cut_lineage(cells, "knn-cells")
+    radius = {(r["g"], r["cell"]): r["r"] for r in
+              cells.groupBy("g", "cell").agg(F.max("dp").alias("r")).collect()}     # groups x pivots
+    best = _top(_compare(_to_cells(q, pivots, radius, probe, False), cells, k, exclude_self, block), k)
+    if len(pivots) <= probe:                                # every cell was searched
+        return best
+    first = cut_lineage(best, "knn-first")
+    dk = first.where(F.col("nn_rank") == k).select("id", F.col("dist").alias("dk"))
+    bounded = q.join(dk, "id", "left").withColumn("dk", F.coalesce("dk", F.lit(float("inf"))))
+    more = _compare(_to_cells(bounded, pivots, radius, probe, True), cells, k, exclude_self, block)
+    return _top(first.drop("nn_rank").unionByName(more), k)

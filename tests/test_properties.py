@@ -66,23 +66,47 @@ def _brute(q, r, k, ids):
     return [list(ids[np.lexsort((ids, d[i]))[:k]]) for i in range(len(q))]
 
 
-def test_knn_join_exact_with_pruning(spark):
+def test_knn_join_equals_brute_force_at_every_size(spark):
     rng = np.random.default_rng(3)
     n, d = 400, 5
     x = np.round(rng.normal(size=(n, d)), 2)  # rounded: many distance ties
+    x[100:220] = x[100]                       # one vector held by a third of the rows
     pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(d)])
     pdf["rid"] = np.arange(n)
+    pdf["lab"] = pdf["rid"] % 3
     feats = [f"f{i}" for i in range(d)]
     refs = spark.createDataFrame(pdf)
     qs = refs.filter("rid % 4 = 0").withColumnRenamed("rid", "qid")
     qpdf = pdf[pdf.rid % 4 == 0]
     exp = _brute(qpdf[feats].to_numpy(), x, 7, pdf["rid"].to_numpy())
-    for limit in (0, None):  # pivot-partitioned join, then the size-checked broadcast path
-        res = knn_join(qs, refs, 7, feats, qid="qid", rid="rid", cell_rows=20, probe=1,
-                       broadcast_max_values=limit).toPandas()
+    bad = refs.limit(3).withColumns({"f0": F.when(F.col("rid") == 0, None).otherwise(float("nan")),
+                                     "rid": F.col("rid") + 9000})
+    for sizes in ({}, {"cell_rows": 20, "probe": 1, "block": 16}, {"cell_rows": 7, "probe": 3, "block": 1000},
+                  {"cell_rows": 50, "max_pivots": 2}):
+        res = knn_join(qs, refs.union(bad), 7, feats, qid="qid", rid="rid", carry="lab", **sizes).toPandas()
         got = res.sort_values(["qid", "nn_rank"]).groupby("qid")["rid"].apply(list)
         for q, e in zip(qpdf["rid"], exp):
             assert got[q] == e
+        assert (res["lab_nn"] == res["rid"] % 3).all()
+    lost = knn_join(bad.withColumnRenamed("rid", "qid"), refs, 7, feats, qid="qid", rid="rid")
+    assert lost.count() == 0 and knn_join(qs, refs.limit(0), 7, feats, qid="qid", rid="rid").count() == 0
+
+
+def test_knn_join_inside_groups_without_the_row_itself(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(np.round(rng.normal(size=(200, 3)), 1), columns=["a", "b", "c"])
+    pdf.loc[20:60, ["a", "b", "c"]] = 0.5
+    pdf["id"] = np.arange(200)
+    pdf["g"] = np.where(pdf["id"] < 195, (pdf["id"] % 2).map(str), "lone")
+    pdf.loc[199, "g"] = "single"
+    df = spark.createDataFrame(pdf)
+    for sizes in ({}, {"cell_rows": 11, "probe": 1, "block": 8}):
+        got = knn_join(df, df, 4, ["a", "b", "c"], "id", "id", group="g", exclude_self=True, **sizes).toPandas()
+        got = got.sort_values(["id", "nn_rank"]).groupby("id")["id_nn"].apply(list)
+        for _, r in pdf.iterrows():
+            own = pdf[(pdf["g"] == r["g"]) & (pdf["id"] != r["id"])]
+            e = _brute(r[["a", "b", "c"]].to_numpy(float)[None], own[["a", "b", "c"]].to_numpy(), 4, own["id"].to_numpy())
+            assert got.get(r["id"], []) == e[0]
 
 
 def test_smote_balances_and_interpolates(spark):
