@@ -95,18 +95,81 @@ def test_linked_sets_share_a_block_key():
             assert apart <= len(a) + len(b) - 2 * both
 
 
+def _path(*keys):
+    h = 0
+    for k in keys:
+        h = html_text._step(h, k)
+    return h
+
+
 def test_page_text():
-    text = lambda h, p=None: html_text.Page(h).text(p)
+    text = lambda h, p=None: html_text.Page(h).text(p)[0]
     assert text("") == "" and text("plain &amp; text") == "plain & text"
     page = ('<html><head><title>T</title></head><body><nav><a href="/">menu</a></nav><div class="cookie-notice">x</div>'
             '<article class="post-12"><h1>Head</h1><p>a&nbsp; b<br>c<p><b>d</b> e<script>"</p>"</script></article>'
             '<div id="comments"><p>first!</p></div><footer>f</footer></body></html>')
-    assert text(page) == "Head\n\na b c\n\nd e"
+    assert html_text.Page(page).text() == ("Head\n\na b c\n\nd e", ">body>article.post-0")
     v = html_text.Page(page).votes()
-    assert max(v, key=v.get) == ">body>article.post-0"
+    assert max(v, key=v.get) == _path("body", "article.post-0")
     # a page whose side text is longer follows its host's path
     thin = '<body><div class="x">long side text of this page</div><article class="post-7"><p>hi</p></article></body>'
-    assert text(thin, ">body>article.post-0") == "hi"
+    assert text(thin, _path("body", "article.post-0")) == "hi"
+
+
+def test_names_are_evidence_and_not_a_cut():
+    paragraphs = [f"Sentence number {i} of this article says something." for i in range(6)]
+    page = (f'<body><article><h1>Head</h1><div class="article-body social"><p>{paragraphs[0]}</p></div>'
+            f'<section class="related work"><p>{paragraphs[1]}</p></section><p class="notice">{paragraphs[2]}</p>'
+            '<div class="share"><a href="/x">tell others</a> <a href="/y">mail</a></div>'
+            '<div class="ad">buy this</div><section class="comments"><p>' + "first " * 90 + '</p></section></article>'
+            '<div class="notice">we use things</div></body>')
+    assert html_text.Page(page).text()[0] == "\n\n".join(["Head", *paragraphs[:3]])
+    # the text of a host may stand in an element with an unlucky name
+    menu = '<body><div class="menu">' + "".join(f"<p>{p}</p>" for p in paragraphs) + '</div><div class="ad">x</div></body>'
+    assert html_text.Page(menu).text()[0] == "\n\n".join(paragraphs)
+    links = '<body><div class="menu">' + '<a href="/">a menu entry</a> ' * 40 + f'</div><p>{paragraphs[0]}</p></body>'
+    assert html_text.Page(links).text()[0] == paragraphs[0]
+
+
+def _made_page(rnd):
+    """A page from known parts: (html, text of its article)."""
+    words = lambda n: " ".join(rnd.choice(["alpha", "b&eacute;ta", "x &lt; y", "g\u00e4mma", "delta"]) for _ in range(n))
+    plain = lambda t: " ".join(t.replace("&eacute;", "\u00e9").replace("&lt;", "<").split())
+    junk = ['<nav><ul><li><a href="/a">one</a></li><li>two</li></ul></nav>', '<div class="ad">' + words(8) + "</div>",
+            '<aside><p>' + words(20) + "</p></aside>", "<!-- <p>gone</p> -->", '<form><p>name</p><input></form>',
+            '<div class="cookie-notice"><p>' + words(9) + "</p></div>", "<script>var t='</p>';</script>",
+            '<section id="comments"><p>' + words(60) + "</p></section>", '<div class="sidebar"><a href="/">' + words(4) + "</a></div>"]
+    blocks, inner = [], []
+    for _ in range(rnd.randint(2, 9)):
+        t = words(rnd.randint(1, 40))
+        kind = rnd.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>",
+                           "<p><b>{}</b></p>", "<h2>{}</h2>", "<p>\n {}\t<br> </p>", "<div><div><div>{}</div></div></div>"])
+        inner.append(kind.format(t))
+        blocks.append(plain(t))
+        if rnd.random() < 0.3:
+            inner.append(rnd.choice(junk))
+    around = [rnd.choice(junk) for _ in range(4)]
+    html = ("<!DOCTYPE html><html><head><title>t</title></head><body>" + around[0] + around[1] + "<article>" + "".join(inner)
+            + "</article>" + around[2] + "<footer>f</footer>" + around[3] + "</body></html>")
+    return html, "\n\n".join(blocks)
+
+
+def test_made_pages_give_their_article_back():
+    rnd = random.Random(6)
+    path = _path("body", "article")
+    for _ in range(300):
+        html, want = _made_page(rnd)
+        assert html_text.Page(html).text(path)[0] == want
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+    for page in ("<div>x" * 100_000, "<b>x" * 100_000 + "</i>" * 50_000, "<p><b>" * 50_000 + "end",
+                 "<div><b>" + "<p>y</i></b>" * 60_000, "<ul><li>" * 50_000, '<div class="ad">z' * 50_000,
+                 "<article><span>" * 30_000 + "</span></article>" * 30_000 + "tail", "<a>q</p>" * 60_000):
+        t = time.process_time()
+        html_text.Page(page).text()
+        assert time.process_time() - t < 4
 
 
 def test_subsequence_kernel_by_hand():
@@ -156,3 +219,23 @@ def test_descent_and_calibration():
     assert ((m > 0) == (y > 0)).mean() > 0.95
     a, b = platt(m, y)
     assert a > 0 and abs(b) < 5
+
+
+def test_letter_bound_of_landmarks_is_proven():
+    rnd = random.Random(11)
+    letters = "abcdei"
+    marks = toxicity.Landmarks(["^" + "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 7))) for _ in range(12)])
+    words = ["".join(rnd.choice(letters + "xyz") for _ in range(rnd.randint(1, 12))) for _ in range(400)]
+    pieces, _ = toxicity._pieces(words)
+    got = {(i, j): v for i, j, v in zip(*marks.compare(pieces))}
+    own = toxicity.Landmarks._self(pieces)
+    for i, w in enumerate(pieces):
+        if len(w) < toxicity.P:
+            continue
+        for j, m in enumerate(marks.words):
+            k = toxicity.subsequence_kernel(toxicity._codes([w], len(w), "\1"), toxicity._codes([m], len(m), "\2"))[0]
+            k /= np.sqrt(own[i] * marks.self_k[j])
+            if abs(k - toxicity.FLOOR) > 1e-4:
+                assert ((i, j) in got) == (k > toxicity.FLOOR)
+                assert (i, j) not in got or abs(got[i, j] - k * k) < 1e-4
+    assert np.linalg.eigvalsh(marks.gram()).min() > -1e-6
