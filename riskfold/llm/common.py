@@ -15,7 +15,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
 from ..sources.tables import table
 
 __all__ = ["prepare", "table", "cut_lineage", "fresh", "sha_hex", "text_bytes",
-           "crc_fold", "small_enough", "components", "SPACE"]
+           "crc_fold", "small_enough", "with_row_key", "components", "SPACE"]
 
 SPACE = r"[^\x20\x09-\x0D]+"       # a word of the white-space tokeniser
 
@@ -73,6 +73,22 @@ def text_bytes(arr):
     return data, off - off[0], valid
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two long columns that tell all its rows apart, equal ones
+    too, and their names: the file and the place in it of a Parquet row. What is
+    no plain read of Parquet is written first."""
+    from pyspark.errors import AnalysisException
+    names = [fresh("__file", docs.columns), fresh("__place", docs.columns)]
+
+    def keyed(d):
+        return d.select("*", F.xxhash64("_metadata.file_path").alias(names[0]),
+                        F.col("_metadata.row_index").alias(names[1]))
+    try:
+        return keyed(docs), names
+    except AnalysisException:
+        return keyed(cut_lineage(docs, "rows")), names
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
     """True when ``df`` holds at most ``limit`` bytes at ``row_bytes`` a row.
 
@@ -120,7 +136,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_docs
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int((1 << 31) * max_docs / n))
     # about max_docs rows by the line above: a bounded broadcast
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    return d.join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id"])
+    # of a repeated doc_id the least text, whatever the order of the rows
+    return d.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def add_score(docs: DataFrame, text_col: str, keep, make_scorer, name: str = "score") -> DataFrame:

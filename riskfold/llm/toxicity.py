@@ -9,9 +9,10 @@ their pairs of words (a convolution kernel). Single letters set apart
 (``i d i o t``) are joined to one word first; common digit-for-letter writings
 are undone.
 
-Nystroem. Landmarks are the word beginnings that best tell the labels of the sample apart
-(counted in Spark). With K the kernel of the landmarks, a sentence's coordinates
-are K ** -1/2 times its kernel values against them. A linear squared-hinge SVM
+Nystroem. Landmarks are the word beginnings that best tell the labels of the sample
+apart (counted in Spark; three toxic documents of evidence at least, copies not
+counted). With K the kernel of the landmarks (not cut off, so positive definite),
+a sentence's coordinates are K ** -1/2 times its kernel values against them. A linear squared-hinge SVM
 is trained on labelled sentences (dual coordinate descent): all sentences of
 clean texts that touch a landmark, and of each toxic text the sentence that
 currently scores highest, twice over. A document scores as its highest sentences,
@@ -19,12 +20,17 @@ calibrated to 0..1 (TOP sentences are added up, so one odd word weighs less than
 several).
 
 Since both maps are linear, a word's weight is one number. A task evaluates the
-kernel once per distinct word, only against landmarks most of whose letters the
-word has, and then adds up numbers per sentence of the whole text.
+kernel once per distinct word and then adds up numbers per sentence of the whole
+text. Landmarks that can't reach FLOOR are passed over by a proven bound: with
+some of a landmark's letters missing in the word, only its subsequences of the
+other letters can match, so by Cauchy-Schwarz the normalised kernel is at most
+the share of the landmark's norm that these have (one table a landmark).
 
 Cases: null and empty texts score as a text without any landmark; without labels
 of both classes every score is the share of label 1 (0 without labels); repeated
-rows score alike; empty table: no rows; ``keep`` columns pass through.
+rows score alike, and in the fit count as one document (the least text of a
+repeated doc_id); very long texts and words are read whole; empty table: no rows;
+``keep`` columns pass through, a clashing name gets an underscore.
 """
 from __future__ import annotations
 
@@ -103,10 +109,33 @@ class Landmarks:
         self.width = max((len(w) for w in self.words), default=1)
         self.codes = _codes(self.words, self.width, "\1")
         self.masks = self._masks(self.words)
-        letters = np.bitwise_count(self.masks).astype(np.int64)
-        self.missing = np.where(letters <= 4, 0, np.where(letters <= 7, 1, 2))
+        self.bounds = [self._bounds(w) for w in self.words]
         self.self_k = self._self(self.words)
 
+    @staticmethod
+    def _bounds(word: str) -> tuple[np.ndarray, np.ndarray]:
+        """(letters as hashed bits, norm share of the subsequences whose letters
+        are all present) with the present letters as bits of the index."""
+        letters = sorted(set(word))
+        own = _codes([word], len(word), "\1")
+        n = 1 << len(letters)
+        s = np.repeat(own, n, 0)
+        t = s.copy()
+        for i, c in enumerate(letters):                     # a missing letter matches nothing
+            gone = (np.arange(n) >> i & 1) == 0
+            t[gone[:, None] & (own == ord(c))] = 0
+        k = subsequence_kernel(s, t)
+        return (np.array([ord(c) % 64 for c in letters], np.uint64),
+                np.sqrt(np.maximum(k, 0) / max(float(k[-1]), 1e-30)))
+
+    def _possible(self, j: int, mask: np.ndarray) -> np.ndarray:
+        """Whether words of these letter bits can reach FLOOR against landmark j."""
+        bits, share = self.bounds[j]
+        present = np.zeros(len(mask), np.int64)
+        for i, b in enumerate(bits):
+            present |= ((mask >> b) & np.uint64(1)).astype(np.int64) << i
+        return share[present] >= FLOOR * (1 - 1e-6)
+
     @staticmethod
     def _masks(words) -> np.ndarray:
         joined = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -126,6 +155,16 @@ class Landmarks:
                 out[sel] = subsequence_kernel(_codes(a, max(lo, 1), "\1"), _codes(a, max(lo, 1), "\2"))
         return out
 
+    def gram(self) -> np.ndarray:
+        """The landmarks' kernel, normalised and squared: positive definite."""
+        m = len(self.words)
+        i, j = np.divmod(np.arange(m * m), max(m, 1))
+        s = _codes(self.words, self.width, "\2")
+        k = np.concatenate([subsequence_kernel(s[i[a:a + 2000]], self.codes[j[a:a + 2000]])
+                            for a in range(0, m * m, 2000)] or [np.zeros(0)])
+        k = (k / np.sqrt(np.maximum(self.self_k[i] * self.self_k[j], 1e-30))).reshape(m, m)
+        return ((k + k.T) / 2) ** 2
+
     def reachable(self, words: list[str]) -> np.ndarray:
         """Indexes of the words of which a piece can pass ``compare``: a word has
         all letters of its pieces, and its first piece is the longest."""
@@ -133,9 +172,8 @@ class Landmarks:
         lens = np.minimum(np.array([len(w) for w in words], np.int64) + 1, PIECE)
         ok = np.zeros(len(words), bool)
         for j in range(len(self.words)):
-            ok |= ((np.bitwise_count(self.masks[j] & ~mask) <= self.missing[j])
-                   & (lens >= max(P, len(self.words[j]) - 2)))
-        return np.flatnonzero(ok)
+            ok |= self._possible(j, mask)
+        return np.flatnonzero(ok & (lens >= P))
 
     def values(self, words: list[str]):
         """Sparse (word index, landmark index, kernel) of normalised words."""
@@ -151,12 +189,9 @@ class Landmarks:
             return z
         mask = self._masks(words)
         lens = np.array([len(w) for w in words])
-        # cheap necessary conditions: letters present, and lengths that can reach FLOOR
         wi, li = [], []
         for j in range(len(self.words)):
-            ok = np.bitwise_count(self.masks[j] & ~mask) <= self.missing[j]
-            ok &= lens >= max(P, len(self.words[j]) - 2)
-            k = np.flatnonzero(ok)
+            k = np.flatnonzero(self._possible(j, mask) & (lens >= P))
             wi.append(k)
             li.append(np.full(len(k), j))
         wi, li = np.concatenate(wi), np.concatenate(li)
@@ -248,18 +283,21 @@ def landmark_words(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
     ws = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
     pairs = F.transform("ws", lambda w, i: F.struct(
         w.alias("w"), F.xxhash64(F.when(i > 0, F.get("ws", i - 1)).otherwise("")).alias("before")))
-    # distinct() below drops repeats: array_distinct compares structs pair by pair
-    d = sample.select("y", ws.alias("ws")).select("y", F.explode(pairs).alias("x"))
+    d = sample.select("y", "doc_id", ws.alias("ws")).select("y", "doc_id", F.explode(pairs).alias("x"))
     n_letters = F.array(*[F.lit(k) for k in range(3, PIECE)])
-    d = d.where(F.length("x.w") >= 4).select("y", "x.w", "x.before", F.explode(n_letters).alias("k"))
-    d = d.where("k <= length(w)").select("y", F.expr("substring(w, 1, k)").alias("w"), "before").distinct()
-    c = cut_lineage(d.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")), "toxic-words")
+    d = d.where(F.length("x.w") >= 4).select("y", "doc_id", "x.w", "x.before", F.explode(n_letters).alias("k"))
+    # a context belongs to its first document: copies add no evidence
+    d = (d.where("k <= length(w)").groupBy("y", F.expr("substring(w, 1, k)").alias("w"), "before")
+         .agg(F.min("doc_id").alias("owner")))
+    c = cut_lineage(d.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"),
+                                       F.count_distinct(F.when(F.col("y") > 0, F.col("owner"))).alias("docs")),
+                    "toxic-words")
     t = c.agg(F.sum("p"), F.sum("q")).first()
     if not t[0] or not t[1]:
         return []
     lift = F.log((F.col("p") + 0.5) / (t[0] + 1.0)) - F.log((F.col("q") + 0.5) / (t[1] + 1.0))
     # clearly more frequent in toxic texts: ten times the rate at least
-    top = (c.withColumn("lift", lift).where("p >= 3 and lift >= ln(10.0)")
+    top = (c.withColumn("lift", lift).where("p >= 3 and docs >= 3 and lift >= ln(10.0)")
            .orderBy((F.col("p") * F.col("lift")).desc(), "w").limit(6 * n))
     kept: dict[str, int] = {}
     for r in top.collect():
@@ -316,10 +354,7 @@ def train(bags, y: np.ndarray, words: list[str], c: float = 1.0) -> dict:
     """Model from the sentences ({landmark: value}) of each labelled document."""
     m = len(words)
     marks = Landmarks(words)
-    k = np.zeros((m, m))
-    i, j, v = marks.compare(words)
-    k[i, j] = v
-    val, vec = np.linalg.eigh((k + k.T) / 2)
+    val, vec = np.linalg.eigh(marks.gram())
     root = (vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T         # K ** -1/2
     dense = [np.array([[s.get(j, 0.0) for j in range(m)] for s in bag]).reshape(-1, m) @ root for bag in bags]
     all_idx = np.arange(m)
@@ -342,11 +377,10 @@ def train(bags, y: np.ndarray, words: list[str], c: float = 1.0) -> dict:
 def scorer(model: dict):
     """Function from an Arrow string array to scores."""
     v = model["v"].tolist()
-    least = 0.02 * max([1e-9, *map(abs, v)])                # lighter words change nothing
 
     def weight(jv):
         x = sum(v[j] * k for j, k in jv)
-        return x if abs(x) > least else None
+        return x if x else None                             # 0 changes nothing
     ww = WordWeights(Landmarks(model["words"]), weight)
 
     def score(texts) -> np.ndarray:
