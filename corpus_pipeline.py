@@ -7,8 +7,15 @@ stage's ``docs``. All stages but the last return the columns of ``docs``.
 Stages: toxic documents go; of each group of near duplicates one document
 stays; contaminated documents go; personal data is replaced by [KIND] (n_chars
 follows the new text); the sources are mixed to their target weights, which
-adds size, source_size, target, taken, repeats and finish and leaves out the
-documents that the mix does not take.
+adds size, source_size, target, taken, repeats and finish (columns of these
+names are replaced) and leaves out the documents that the mix does not take.
+
+Cases: a null or empty text is not toxic, has no shingles, is no near duplicate,
+not contaminated, stays null or empty, and is never taken by the mix (size 0).
+Of equal rows one stays. A null doc_id is a document like others; a null source
+is a source of its own. Ties go to the smallest doc_id (near duplicates) and by
+the md5 order of ids (mix). Texts are read whole at any length. An empty table
+gives no rows. Extra columns pass through all stages, whatever their names.
 """
 from __future__ import annotations
 
@@ -16,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.llm import decontam, mixing, parity_join, pii, toxicity
-from riskfold.llm.common import cut_lineage, prepare, table
+from riskfold.llm.common import cut_lineage, prepare, small_enough, table, with_row_key
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,18 +56,17 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(docs.columns)
 
 
+MIX_COLUMNS = ["size", "source_size", "target", "taken", "repeats", "finish"]
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    names = ["size", "source_size", "target", "taken", "repeats", "finish"]
-    m = (mixing.mix(docs).where("repeats > 0").groupBy("doc_id", "source", "size")
-         .agg(*[F.max(c).alias(c) for c in names[1:]]))
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
-                 *[F.col(c).alias(f"__{c}") for c in names])
-    d = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(mixing.SPACE)), F.lit(0)).cast("long"))
-    d = d.join(m, d["doc_id"].eqNullSafe(m["__id"]) & d["source"].eqNullSafe(m["__source"])
-               & (d["__n"] == m["__size"]))
-    kept = [c for c in docs.columns if c not in names]
-    return d.select(*kept, *[F.col(f"__{c}").alias(c) for c in names])
+    keyed, key = with_row_key(docs)
+    taken = mixing.mix(keyed, keep=key).where("repeats > 0")
+    taken = cut_lineage(taken.select(*key, *[F.col(c).alias(f"mix {c}") for c in MIX_COLUMNS]), "mix-taken")
+    out = keyed.join(F.broadcast(taken) if small_enough(taken, 72) else taken, key)
+    kept = [c for c in docs.columns if c.lower() not in MIX_COLUMNS]
+    return out.select(*kept, *[F.col(f"mix {c}").alias(c) for c in MIX_COLUMNS])
 
 
 STAGES = [
