@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, small_enough, text_bytes
+from .common import components, cut_lineage, fresh, small_enough, text_bytes
 
 SHINGLE = 5
 HOT = 12
@@ -295,16 +295,16 @@ def sketch_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for i, j in _slices(off):
                 h, ends = shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 cls = class_hash(h, ends)
-                fresh = np.zeros(j - i, bool)
+                unseen = np.zeros(j - i, bool)
                 for d, c in enumerate(cls.tolist()):
                     if c not in seen:
                         seen.add(c)
-                        fresh[d] = True
+                        unseen[d] = True
                 n = np.diff(ends)
-                sel = np.repeat(fresh, n)
-                doc, key, slack = block_keys(h[sel], np.concatenate(([0], np.cumsum(n[fresh]))))
+                sel = np.repeat(unseen, n)
+                doc, key, slack = block_keys(h[sel], np.concatenate(([0], np.cumsum(n[unseen]))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(cls[fresh][doc]), pa.array(slack.astype(np.int32))],
+                    [pa.array(key), pa.array(cls[unseen][doc]), pa.array(slack.astype(np.int32))],
                     names=["key", "cls", "slack"])
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, cls long, slack int")
 
@@ -503,10 +503,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` (all columns) without all but one document of each
     component."""
     got = cut_lineage(linked_documents(docs, id_col, text_col, hot), "join-result")
-    drop = got.where(~F.col("keep")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    i, h = fresh("__id", docs.columns), fresh("__th", docs.columns)
+    drop = got.where(~F.col("keep")).select(F.col("doc_id").alias(i), F.col("th").alias(h)).distinct()
     drop = F.broadcast(drop) if small_enough(drop, 32) else drop
-    out = docs.join(drop, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")),
-                    "left_anti")
+    out = docs.join(drop, docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h)), "left_anti")
     twice = got.where("keep").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return out if twice.isEmpty() else out.dropDuplicates([id_col, text_col])
 

@@ -4,6 +4,8 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +264,75 @@ def test_warc_chain_rejects_magic_in_payloads(spark):
     assert warc.read_warc(spark, warc.write_warc(d.limit(0), scratch_path(spark, "warc-none"))).count() == 0
 
 
+def _pii_corpus(rnd):
+    """Texts with base spans among plain numbers, and some without any."""
+    words = lambda n: " ".join(rnd.choice(["the", "report", "of", "and", "was", "sold", "year", "met"]) for _ in range(n))
+
+    def digits(n):
+        return "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        total = sum(2 * int(x) - 9 * (int(x) > 4) if i % 2 == 0 else int(x) for i, x in enumerate(reversed(d)))
+        d += str(-total % 10)
+        return " ".join(d[i:i + 4] for i in range(0, 16, 4))
+    facts = [lambda: f"u{digits(3)}.{rnd.choice('abc')}@mail{digits(1)}.org", card,
+             lambda: f"{rnd.randint(1, 250)}.{rnd.randint(1, 250)}.{rnd.randint(1, 250)}.{rnd.randint(1, 250)}",
+             lambda: f"+49 {digits(3)} {digits(3)} {digits(2)} {digits(2)}"]
+    plain = [lambda: digits(7), lambda: f"{rnd.randint(1, 28)}-{rnd.randint(1, 12)}-2020", lambda: f"1.{digits(1)}.{digits(1)}",
+             lambda: f"{digits(2)},{digits(3)},{digits(3)}", lambda: f"{digits(4)} {digits(4)}", lambda: digits(12),
+             lambda: "2019 2020 2021", lambda: f"{digits(3)}.{digits(3)}.{digits(3)}"]
+    return [" ".join([words(5), rnd.choice(facts)() if i % 2 else "", words(4), rnd.choice(plain)(), words(3),
+                      rnd.choice(plain)() + ",", words(2)]) for i in range(1200)]
+
+
+def test_pii_finds_forms_that_the_patterns_miss(spark):
+    rnd = random.Random(3)
+    found = {9001: "please tel 0171 555 77 13 today", 9002: "mail: jo.doe [at] mail1 [dot] org please", 9003: "her card 4111.1111.1111.1111 is",
+             9004: "the host 10-20-30-41 is down", 9005: "write to ann(at)mail2(dot)net soon", 9006: "call (491) 712-3456 now"}
+    clean = {9101: "in 2021 about 1234567 people met on 12-11-2020", 9102: "version 1.2.3 of year 2019 sold 12,345,678",
+             9103: "the report of 2019 2020 2021 was sold", 9104: "nothing to see here"}
+    d = _docs(spark, [*enumerate(_pii_corpus(rnd)), *found.items(), *clean.items()])
+    got = {r.doc_id: r for r in pii.find_pii(d, keep=["doc_id", "text"]).withColumn(
+        "clean", pii.redact(F.col("text"), F.col("spans"))).where("doc_id > 9000").collect()}
+    hits = [i for i in found if any(not s.base for s in got[i].spans)]
+    assert len(hits) >= 4, {i: got[i].spans for i in found}
+    assert all("[" in got[i].clean.replace("[at]", "").replace("[dot]", "") for i in hits)
+    for i, t in clean.items():
+        assert not got[i].spans and got[i].clean == t, (t, got[i].spans)
+    # planted forms of the corpus itself: precision and recall of the chosen threshold
+    ex = pii.examples(d.where("doc_id < 9000").select(F.col("text").alias("t")))
+    score, cuts = pii.fit(d.where("doc_id < 9000"), "text")
+    bar = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])
+    r = ex.select("label", (score(F.col("x")) >= F.coalesce(F.try_element_at(bar, F.col("kind")), F.lit(2.0))).alias("pick")
+                  ).groupBy("label", "pick").count().collect()
+    n = {(int(x.label), x.pick): x["count"] for x in r}
+    assert n.get((1, True), 0) / (n.get((1, True), 0) + n.get((0, True), 0)) >= 0.97
+    assert n.get((1, True), 0) / (n.get((1, True), 0) + n.get((1, False), 0)) >= 0.6
+
+
+def test_redact_merges_overlaps_by_running_maxima(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        t = "".join(rnd.choice("abcdef\U0001F600") for _ in range(rnd.randint(1, 1500 if i % 9 == 0 else 60)))
+        spans = sorted({(rnd.randrange(len(t)), rnd.randrange(4), rnd.randint(1, 9)) for _ in range(rnd.randint(0, 300 if i % 9 == 0 else 8))})
+        rows.append((i, t, [(pii.KINDS[k], s, min(len(t), s + n), True) for s, k, n in spans]))
+    d = spark.createDataFrame(rows, f"i int, t string, s array<{pii.SPAN}>")
+    got = {r.i: r.r for r in d.select("i", pii.redact(F.col("t"), F.col("s")).alias("r")).collect()}
+    for i, t, spans in rows:
+        merged = []
+        for k, s, e, _ in spans:
+            if merged and merged[-1][2] > s:
+                merged[-1][2] = max(merged[-1][2], e)
+            else:
+                merged.append([k, s, e])
+        want, at = "", 0
+        for k, s, e in merged:
+            want, at = want + t[at:s] + f"[{k.upper()}]", e
+        assert got[i] == want + t[at:], i
+
+
 def _mix_brute(docs, weights=(5, 2, 1), seed="mix"):
     size = {}
     for i, s, n in docs:
@@ -290,7 +361,7 @@ def _mix_brute(docs, weights=(5, 2, 1), seed="mix"):
     taken, used = {}, 0
     for f, s, n, i, early in sorted(served):
         used += n
-        if early or used <= sum(target.values()) + 1e-6:
+        if early or used - n / 2 <= sum(target.values()) + 1e-6:
             taken[(i, order[s])] = taken.get((i, order[s]), 0) + n
     return target, taken
 
@@ -309,6 +380,14 @@ def test_mixing_equals_brute_force(spark):
     assert mixing.mix(_edge(spark)).count() == 9 and mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mixing_comes_near_the_targets(spark):
+    d = _docs(spark, [(0, "w " * 400)] + [(i, "w " * 10) for i in range(1, 60)], {0: "big"})
+    got = mixing.mix(d).collect()
+    assert {r.taken for r in got if r.source == "big"} == {800}     # target 707: two passes are nearer than one
+    same = _docs(spark, [(1, "a b c d e f g h i j")] * 3 + [(2, "a " * 20)], {2: "other"})
+    assert sorted(r.repeats for r in mixing.mix(same, weights=(1, 9)).where("doc_id = 1").collect()) == [1, 2, 2]
+
+
 def test_classifiers_on_small_tables(spark):
     lab = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     for op, col in ((quality, "quality"), (toxicity, "toxic")):
@@ -319,12 +398,81 @@ def test_classifiers_on_small_tables(spark):
         assert op.score_documents(_edge(spark).limit(0), lab).count() == 0
 
 
-@pytest.mark.parametrize("name,label", [("op5_quality_nbsvm", "quality"), ("op3_toxicity_ssk", "toxic")])
-def test_held_out_accuracy(spark, name, label):
+def _auc(score, y):
+    order = np.argsort(score, kind="stable")
+    s, y = np.asarray(score)[order], np.asarray(y)[order]
+    rank = np.empty(len(s))
+    for v in np.unique(s):
+        at = np.flatnonzero(s == v)
+        rank[at] = at.mean() + 1
+    pos = y.sum()
+    return (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
+
+
+@pytest.mark.parametrize("name,label,least", [("op5_quality_nbsvm", "quality", (0.9, 0.9, 0.95)),
+                                              ("op3_toxicity_ssk", "toxic", (0.6, 0.6, 0.85))])
+def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
-    got = QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
-    ok = got.where(F.col("predicted") == F.col(label)).count() / got.count()
-    assert ok > 0.9
+    got = (QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+           .select("score", "predicted", F.col(label).alias("y")).toPandas())
+    hit = ((got["predicted"] == 1) & (got["y"] == 1)).sum()
+    recall, precision = hit / (got["y"] == 1).sum(), hit / max(1, (got["predicted"] == 1).sum())
+    larger = max(got["y"].mean(), 1 - got["y"].mean())
+    assert (got["predicted"] == got["y"]).mean() > larger
+    assert recall >= least[0] and precision >= least[1] and _auc(got["score"], got["y"]) >= least[2]
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    """The scorer against the kernel evaluated pair by pair."""
+    words = ["^idiot", "^stupi", "^loser"]
+    bags = [[{0: 1.0}]] * 4 + [[{1: 0.8}]] * 3 + [[{2: 0.9}, {0: 0.3}]] * 3 + [[]] * 6 + [[{1: 0.2}]] * 3
+    model = toxicity.train(bags, np.array([1] * 10 + [0] * 9), words)
+    marks = toxicity.Landmarks(words)
+    texts = ["You idiot. So stupid and a loser! Fine day.", "nothing here", "", "l o s e r", "idi-ot idiot stupidly. loser loser"]
+    for text, got in zip(texts, toxicity.scorer(model)(pa.array(texts))):
+        best = []
+        split = text.lower().split()
+        cut, sentence = [], []
+        for w in split:                     # a word that ends with . ! ? ends its sentence
+            sentence.append(w)
+            if w[-1] in ".!?":
+                cut.append(sentence)
+                sentence = []
+        for ws in [*cut, sentence, *[[w] for w in toxicity.spaced_words(text.lower())]]:
+            total = 0.0
+            for w in toxicity.normalise(ws) if ws else []:
+                for piece in toxicity._pieces([w])[0]:
+                    if len(piece) < toxicity.P:
+                        continue
+                    code = lambda x, pad: toxicity._codes([x], len(x), pad)
+                    k = lambda x, z: toxicity.subsequence_kernel(code(x, "\1"), code(z, "\2"))[0]
+                    for v, m in zip(model["v"], words):
+                        near = k(piece, m) / np.sqrt(k(piece, piece) * k(m, m))
+                        total += v * near ** 2 if near >= toxicity.FLOOR else 0.0
+            best.append(total)
+        f = sum(sorted([x for x in best if x > 0], reverse=True)[:toxicity.TOP])
+        want = 1 / (1 + np.exp(-(model["a"] * (f + model["bias"]) + model["b"])))
+        assert abs(got - want) < 1e-5, text
+
+
+def test_fingerprint_query_by_brute_force(spark, tmp_path):
+    sf = str(tmp_path)
+    rnd = random.Random(4)
+    rows = [(i, None if i == 5 else " ".join(rnd.choice("abcdef\u00e9") for _ in range(rnd.choice([0, 3, 9, 40, 300]))))
+            for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_bottomk_fingerprint"](spark, sf).collect()}
+    text = {i: t or "" for i, t in rows}
+    for i, t in text.items():
+        nxt = text[i - 1] if i else text[39]
+        half = len(t) // 2
+        edited = t[:len(t) - half] + nxt[:half]
+        a, b, c = _shingles(t), _shingles(edited), _shingles(nxt)
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        for near, other in ((got[i].near_edited, b), (got[i].near_next, c)):
+            exact = len(a) < bottomk.K and len(other) < bottomk.K
+            assert abs(near - like(a, other)) < (1e-9 if exact else 0.2)
 
 
 def test_pipeline(spark):
