@@ -1,4 +1,4 @@
-"""Ensembles over stored predictions: soft voting and stacking inputs."""
+"""Soft voting over stored predictions (stacking: see crossval)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -18,44 +18,3 @@ def soft_vote(scored: DataFrame, members: DataFrame, name: str = "Voting Ensembl
     return avg.select(F.lit(name).alias("model"), C.ID, "split", "y",
                       argmax_first([F.col(f"p{c}") for c in range(n_classes)]).cast("int").alias("pred"),
                       *[f"p{c}" for c in range(n_classes)])
-
-
-def stacking(builders: dict, train: DataFrame, test: DataFrame, features: list[str], fold_col: str,
-             k: int = 5, meta_C: float = 0.5, name: str = "Stacking", parallelism: int = 8) -> DataFrame:
-    """Out-of-fold class probabilities of the base models (each training row
-    is predicted by a model that never saw it) feed a multinomial logistic
-    meta-model (C = 0.5, no passthrough); test rows use the base models
-    refitted on all training rows."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from .models import fit_logistic, scored_rows
-    names = list(builders)
-    jobs = [(n, f) for n in names for f in range(k)]
-
-    def oof(job):
-        n, f = job
-        m = builders[n](train.filter(F.col(fold_col) != f), features)
-        return scored_rows(m, train.filter(F.col(fold_col) == f).withColumn("split", F.lit("train")))
-
-    def full(n):
-        return scored_rows(builders[n](train, features), test.withColumn("split", F.lit("test")))
-    with ThreadPoolExecutor(parallelism) as ex:
-        oof_parts = list(ex.map(oof, jobs))
-        test_parts = list(ex.map(full, names))
-
-    def wide(parts):
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        idx = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-        u = u.withColumn("__m", F.try_element_at(idx, F.col("model")))
-        cols = [F.max(F.when(F.col("__m") == i, F.col(f"p{c}"))).alias(f"m{i}_p{c}")
-                for i in range(len(names)) for c in range(3)]
-        return u.groupBy(C.ID, "split", "y").agg(*cols)
-    meta_cols = [f"m{i}_p{c}" for i in range(len(names)) for c in range(3)]
-    tr_meta = wide(oof_parts).withColumnRenamed("y", C.LABEL)
-    te_meta = wide(test_parts).withColumnRenamed("y", C.LABEL)
-    meta = fit_logistic(tr_meta, meta_cols, C_=meta_C)
-    out = meta.predict(te_meta)
-    return out.select(F.lit(name).alias("model"), C.ID, "split", F.col(C.LABEL).alias("y"),
-                      "pred", "p0", "p1", "p2")

@@ -1,8 +1,8 @@
-"""Classifiers, ensembles, cross-validation, parameter search, learning curve.
+"""Classifiers and the learning curve.
 
 All fits are Spark MLlib estimators on an assembled feature vector:
-multinomial logistic regression, random forest, a no-bootstrap forest for
-the extra-trees variant, one-vs-rest gradient-boosted trees (MLlib's GBT is
+multinomial logistic regression, random forest, extra trees on pre-drawn
+split points, one-vs-rest gradient-boosted trees (MLlib's GBT is
 binary; three binary models give normalised class probabilities), linear
 SVMs on random Fourier features with a Platt step, and the deterministic
 scorers (closed-form naive Bayes, exact kNN). Independent fits (one-vs-rest
@@ -70,17 +70,86 @@ def fit_logistic(train: DataFrame, features: list[str], C_: float = 1.0, max_ite
 
 def fit_forest(train: DataFrame, features: list[str], num_trees: int = 200, max_depth: int = 10,
                min_leaf: int = 1, bootstrap: bool = True, subset: str = "auto", seed: int = C.SEED,
-               label: str = C.LABEL, name: str = "Random Forest") -> Fitted:
+               label: str = C.LABEL, name: str = "Random Forest", subsample: float = 1.0,
+               min_gain: float = 0.0) -> Fitted:
     est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
-                                 minInstancesPerNode=min_leaf, bootstrap=bootstrap,
-                                 featureSubsetStrategy=subset, seed=seed)
+                                 minInstancesPerNode=min_leaf, bootstrap=bootstrap, subsamplingRate=subsample,
+                                 minInfoGain=min_gain, featureSubsetStrategy=subset, seed=seed)
     m = est.fit(_vec(train, features))
+    return Fitted(name, forest_scorer(m, features), {"importances": dict(zip(features, m.featureImportances.toArray().tolist())),
+                                  "model": m, "features": list(features)})
 
+
+def forest_scorer(model, features: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Rows -> rows with the forest's probabilities and prediction."""
     def predict(df):
-        out = m.transform(_vec(df, features))
+        out = model.transform(_vec(df, features))
         arr = vector_to_array("probability")
         return _finish(out, [arr[k] for k in range(N_CLASSES)], df.columns)
-    return Fitted(name, predict, {"importances": dict(zip(features, m.featureImportances.toArray().tolist()))})
+    return predict
+
+
+def random_cuts(lo: np.ndarray, hi: np.ndarray, n_cuts: int, draw: int, seed: int = C.SEED) -> list[list[float]]:
+    """Split points of one draw: per feature ``n_cuts`` uniform ones in (lo, hi)."""
+    u = np.random.default_rng([seed, draw]).uniform(size=(len(lo), n_cuts))
+    return [sorted({float(a + x * (b - a)) for x in row if a < b}) for a, b, row in zip(lo, hi, u)]
+
+
+def fit_extra_trees(train: DataFrame, features: list[str], num_trees: int = 200, max_depth: int = 10,
+                    min_leaf: int = 1, trees_per_draw: int = 10, n_cuts: int = 16, seed: int = C.SEED,
+                    label: str = C.LABEL, name: str = "Extra Trees") -> Fitted:
+    """Extremely randomised trees: no bootstrap, sqrt(features) a node and random
+    split points. MLlib chooses split points from the data, so the points are
+    drawn first: each draw has ``n_cuts`` uniform points a feature, columns are
+    replaced by the number of points below them, and ``trees_per_draw`` trees
+    are fitted on these codes, which can be split at the drawn points only. The
+    codes of all draws are made in one pass (numpy in Arrow batches)."""
+    import pyarrow as pa
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import types as T
+    ends = train.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]).first()
+    lo, hi = (np.array([float(ends[f"{e}_{f}"]) for f in features]) for e in ("lo", "hi"))
+    n_draws = math.ceil(num_trees / trees_per_draw)
+    cuts = [random_cuts(lo, hi, n_cuts, d, seed) for d in range(n_draws)]
+
+    def coded(df):
+        """``df`` with ``__codes``: per draw an array of codes."""
+        d = df.withColumn("__x", F.array(*[F.col(f).cast("double") for f in features]))
+
+        def run(batches):
+            for b in batches:
+                x = b.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(features))
+                codes = np.stack([np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(draw)], 1)
+                                  for draw in cuts], 1).astype(np.float64)
+                flat = pa.array(codes.reshape(-1))
+                inner = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, len(features), dtype=np.int32), flat)
+                outer = pa.ListArray.from_arrays(np.arange(0, b.num_rows * n_draws + 1, n_draws, dtype=np.int32), inner)
+                keep = [c for c in b.schema.names if c != "__x"]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], outer], names=[*keep, "__codes"])
+        return d.mapInArrow(run, T.StructType([*df.schema.fields,
+                                               T.StructField("__codes", T.ArrayType(T.ArrayType(T.DoubleType())))]))
+    from ..session import cut_lineage
+    rows = cut_lineage(coded(train.select(label, *features)).select(label, "__codes"), "extra-trees")
+
+    def one(d):
+        n = min(trees_per_draw, num_trees - d * trees_per_draw)
+        est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n, maxDepth=max_depth,
+                                     minInstancesPerNode=min_leaf, bootstrap=False, featureSubsetStrategy="sqrt",
+                                     maxBins=max(32, n_cuts + 2), seed=seed + d)
+        return est.fit(rows.select(label, array_to_vector(F.col("__codes")[d]).alias("features")))
+    with ThreadPoolExecutor(PARALLELISM) as ex:
+        members = list(ex.map(one, range(n_draws)))
+
+    def predict(df):
+        out = coded(df)
+        total = [F.lit(0.0)] * N_CLASSES
+        for d, m in enumerate(members):
+            out = out.withColumn(f"__x{d}", array_to_vector(F.col("__codes")[d]))
+            m = m.setFeaturesCol(f"__x{d}").setProbabilityCol(f"__p{d}").setRawPredictionCol("").setPredictionCol("")
+            out = m.transform(out).drop(f"__x{d}").withColumn(f"__p{d}", vector_to_array(f"__p{d}"))
+            total = [t + F.col(f"__p{d}")[k] * (m.getNumTrees / num_trees) for k, t in enumerate(total)]
+        return _finish(out, total, df.columns)
+    return Fitted(name, predict, {"draws": n_draws, "members": members})
 
 
 def fit_ovr_gbt(train: DataFrame, features: list[str], max_iter: int = 100, max_depth: int = 5,
@@ -138,11 +207,18 @@ def random_fourier_features(df: DataFrame, features: list[str], w: np.ndarray, b
     return df.select(*keep, *[f for f in features if f not in keep]).mapInPandas(fn, schema)
 
 
+def calibration_half(id_col: str = C.ID, seed: int = C.SEED):
+    """0 or 1: the half of a training row in the Platt step."""
+    from ..functions.draws import md5_uniform
+    return (md5_uniform(F.col(id_col), seed, "platt") * 2).cast("int")
+
+
 def fit_svm_rff(train: DataFrame, features: list[str], C_: float = 1.0, n_comp: int = 200,
                 seed: int = C.SEED, label: str = C.LABEL) -> Fitted:
     """RBF-kernel SVM approximated by random Fourier features (gamma='scale'
-    = 1 / (d * var(X))), one linear SVM per class, Platt scaling of each
-    margin by a one-feature logistic fit, probabilities normalised."""
+    = 1 / (d * var(X))), one linear SVM per class, Platt scaling by a
+    one-feature logistic fit on margins of rows that the scoring machine was not
+    fitted on (two halves by md5), probabilities normalised."""
     d = len(features)
     stats = train.agg(*[F.var_pop(f).alias(f) for f in features]).first()
     means = train.agg(*[F.avg(f).alias(f) for f in features]).first()
@@ -156,14 +232,21 @@ def fit_svm_rff(train: DataFrame, features: list[str], C_: float = 1.0, n_comp:
     ztr = _vec(ztr, zcols).select(C.ID, label, "features").cache()
     n = ztr.count()
 
+    def svm(rows, n_rows):
+        return LinearSVC(featuresCol="features", labelCol="__yb", regParam=1.0 / (C_ * n_rows), maxIter=100).fit(rows)
+
+    def margin(m, rows):
+        return (m.transform(rows).withColumn("__m", vector_to_array("rawPrediction")[1])
+                .drop("rawPrediction", "prediction"))
+
     def one(k):
         dk = ztr.withColumn("__yb", (F.col(label) == k).cast("double"))
-        svm = LinearSVC(featuresCol="features", labelCol="__yb", regParam=1.0 / (C_ * n), maxIter=200).fit(dk)
-        margins = (svm.transform(dk).withColumn("__m", vector_to_array("rawPrediction")[1])
-                   .drop("rawPrediction", "prediction"))
+        # out-of-fold margins: each half is scored by the machine of the other half
+        halves = [dk.where(calibration_half(C.ID, seed) == h) for h in (0, 1)]
+        margins = [margin(svm(halves[1 - h], n / 2), halves[h]) for h in (0, 1)]
         platt = LogisticRegression(featuresCol="__mv", labelCol="__yb", regParam=0.0).fit(
-            _vec(margins, ["__m"], "__mv"))
-        return svm, platt
+            _vec(margins[0].unionByName(margins[1]), ["__m"], "__mv"))
+        return svm(dk, n), platt
     with ThreadPoolExecutor(N_CLASSES) as ex:
         members = list(ex.map(one, range(N_CLASSES)))
     ztr.unpersist()
@@ -193,25 +276,28 @@ def fit_knn(train: DataFrame, features: list[str], k: int = C.KNN_K, label: str
     return Fitted("KNN", lambda df: knn_vote(df, ref, features, k=k, label=label))
 
 
-# reference settings per model (app variant)
+# reference settings per model (app variant); MLlib grows level by level, so the
+# leaf-wise booster's settings run as what they are here: 200 rounds of depth 6
 MODEL_BUILDERS: dict[str, Callable[[DataFrame, list[str]], Fitted]] = {
     "Logistic Regression": lambda tr, f: fit_logistic(tr, f, 1.0, 2000),
     "Random Forest": lambda tr, f: fit_forest(tr, f, 200, 10, 4),
-    "Extra Trees": lambda tr, f: fit_forest(tr, f, 200, 10, 1, bootstrap=False, subset="sqrt",
-                                            name="Extra Trees"),
+    "Extra Trees": lambda tr, f: fit_extra_trees(tr, f, 200, 10, 1),
     "Gradient Boosting": lambda tr, f: fit_ovr_gbt(tr, f, 100, 5, 0.08),
-    "LightGBM": lambda tr, f: fit_ovr_gbt(tr, f, 200, 6, 0.05, name="LightGBM"),
+    "Gradient Boosting (200 rounds)": lambda tr, f: fit_ovr_gbt(tr, f, 200, 6, 0.05,
+                                                                name="Gradient Boosting (200 rounds)"),
     "Naive Bayes": fit_naive_bayes,
     "KNN": fit_knn,
     "SVM": lambda tr, f: fit_svm_rff(tr, f, 1.0),
 }
 
 
-def tuned_builder(params: dict) -> Callable[[DataFrame, list[str]], Fitted]:
-    return lambda tr, f: fit_ovr_gbt(tr, f, int(params["maxIter"]), int(params["maxDepth"]),
-                                     float(params["stepSize"]), float(params["subsamplingRate"]),
-                                     str(params["featureSubsetStrategy"]), int(params["minInstancesPerNode"]),
-                                     name="XGBoost (tuned)")
+def tuned_boosting(params: dict, name: str = "Gradient Boosting (tuned trees)"):
+    """One-vs-rest boosting of trees shaped like those of the search's winner
+    (depth, row and feature share, least rows of a leaf), rounds and step of
+    the plain booster."""
+    return lambda tr, f: fit_ovr_gbt(tr, f, 100, int(params["maxDepth"]), 0.08, float(params["subsamplingRate"]),
+                                     str(round(float(params["featureShare"]), 6)), int(params["minInstancesPerNode"]),
+                                     name=name)
 
 
 def scored_rows(fitted: Fitted, rows: DataFrame, label: str = C.LABEL) -> DataFrame:
@@ -221,80 +307,36 @@ def scored_rows(fitted: Fitted, rows: DataFrame, label: str = C.LABEL) -> DataFr
 
 
 # --------------------------------------------------------------------------
-# cross-validation, parameter search, learning curve
+# learning curve
 # --------------------------------------------------------------------------
-def cross_validate(builder, data: DataFrame, features: list[str], fold_col: str, k: int,
-                   name: str, parallelism: int = PARALLELISM) -> DataFrame:
-    """AUC (one-vs-rest macro) of each held-out fold: (model, fold, roc_auc)."""
-    def one(f):
-        tr = data.filter(F.col(fold_col) != f)
-        te = data.filter(F.col(fold_col) == f)
-        m = builder(tr, features)
-        s = scored_rows(m, te.withColumn("split", F.lit("test")))
-        return f, roc_auc_ovr_macro(s).first()["roc_auc"]
-    with ThreadPoolExecutor(min(parallelism, k)) as ex:
-        res = list(ex.map(one, range(k)))
-    spark = data.sparkSession
-    return spark.createDataFrame([(name, int(f), float(a)) for f, a in res], "model string, fold int, roc_auc double")
-
-
-# search space (reference space re-expressed with MLlib GBT parameters)
-SEARCH_SPACE = {
-    "maxIter": ("int", 100, 400, False),
-    "maxDepth": ("int", 3, 9, False),
-    "stepSize": ("float", 0.01, 0.3, True),
-    "subsamplingRate": ("float", 0.6, 1.0, False),
-    "featureSubsetStrategy": ("choice", ["0.6", "0.7", "0.8", "0.9", "1.0"]),
-    "minInstancesPerNode": ("int", 1, 10, False),
-}
-
-
-def draw_params(trial: int, seed: int = C.SEED) -> dict:
-    """Seeded random draw (log-uniform where marked) for one trial."""
-    rng = np.random.default_rng([seed, trial])
-    out = {}
-    for k, spec in SEARCH_SPACE.items():
-        if spec[0] == "int":
-            out[k] = int(rng.integers(spec[1], spec[2] + 1))
-        elif spec[0] == "float":
-            lo, hi, log = spec[1], spec[2], spec[3]
-            out[k] = float(math.exp(rng.uniform(math.log(lo), math.log(hi)))) if log else float(rng.uniform(lo, hi))
-        else:
-            out[k] = spec[1][int(rng.integers(0, len(spec[1])))]
-    return out
-
-
-def param_search(data: DataFrame, features: list[str], fold_col: str, n_trials: int = 25,
-                 k: int = 3, seed: int = C.SEED, parallelism: int = PARALLELISM) -> DataFrame:
-    """Trial history: (number, value, params) with value = mean k-fold AUC."""
-    def one(t):
-        p = draw_params(t, seed)
-        cv = cross_validate(tuned_builder(p), data, features, fold_col, k, "trial", parallelism=k)
-        return t, float(np.mean([r["roc_auc"] for r in cv.collect()])), p
-    with ThreadPoolExecutor(max(1, parallelism // k)) as ex:
-        res = list(ex.map(one, range(n_trials)))
-    rows = [(t, v, {kk: float(vv) for kk, vv in p.items()}) for t, v, p in res]
-    return data.sparkSession.createDataFrame(rows, "number int, value double, params map<string,double>")
-
-
-def learning_curve(builder, data: DataFrame, features: list[str], fold_col: str, k: int = 5,
-                   sizes=tuple(np.linspace(0.1, 1.0, 8)), order_col: str = "__lc_u",
-                   parallelism: int = PARALLELISM) -> DataFrame:
-    """Train/validation AUC for nested training subsets (first share of the
-    md5 order inside each training fold set)."""
+def learning_curve(builder, cv_train: DataFrame, valid: DataFrame, features: list[str], fold_col: str, k: int = 5,
+                   sizes=tuple(np.linspace(0.1, 1.0, 8)), parallelism: int = PARALLELISM) -> DataFrame:
+    """Train and validation AUC for nested training subsets (the first share of
+    each fold's training rows by md5). ``cv_train``: see crossval.fold_training."""
     from ..functions.draws import md5_uniform
-    d = data.withColumn(order_col, md5_uniform(F.col(C.ID), C.SEED, "lc"))
-    jobs = [(s, f) for s in sizes for f in range(k)]
+    from ..session import cut_lineage
+    d = cv_train.drop("source").withColumn("__u", md5_uniform(F.col(C.ID), C.SEED, "lc"))
+    jobs = [(i, f) for i in range(len(sizes)) for f in range(k)]
 
     def one(job):
-        s, f = job
-        tr = d.filter((F.col(fold_col) != f) & (F.col(order_col) < float(s)))
-        te = d.filter(F.col(fold_col) == f)
+        i, f = job
+        tr = d.filter((F.col("cv_fold") == f) & (F.col("__u") < float(sizes[i]))).drop("cv_fold", "__u")
         m = builder(tr, features)
-        a_tr = roc_auc_ovr_macro(scored_rows(m, tr.withColumn("split", F.lit("train")))).first()["roc_auc"]
-        a_te = roc_auc_ovr_macro(scored_rows(m, te.withColumn("split", F.lit("test")))).first()["roc_auc"]
-        return float(s), f, tr.count(), a_tr, a_te
+        both = (tr.select(*features, C.LABEL, F.lit("train").alias("part"))
+                .unionByName(valid.filter(F.col(fold_col) == f).select(*features, C.LABEL, F.lit("val").alias("part"))))
+        return m.predict(both).select(F.concat_ws("|", F.lit(str(i)), F.lit(str(f)), "part").alias("model"),
+                                      F.col(C.LABEL).alias("y"), "pred", "p0", "p1", "p2")
     with ThreadPoolExecutor(parallelism) as ex:
-        res = list(ex.map(one, jobs))
-    return data.sparkSession.createDataFrame(
-        res, "train_share double, fold int, n_train bigint, train_auc double, val_auc double")
+        parts = list(ex.map(one, jobs))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    scored = cut_lineage(scored, "learning-curve")
+    key = F.split("model", "[|]")
+    got = roc_auc_ovr_macro(scored).join(scored.groupBy("model").agg(F.count(F.lit(1)).alias("n")), "model")
+    share = F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), key[0].cast("int") + 1)
+    pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    return (got.select(share.alias("train_share"), key[1].cast("int").alias("fold"), key[2].alias("part"), "n", "roc_auc")
+            .groupBy("train_share", "fold")
+            .agg(pick("train", "n").alias("n_train"), pick("train", "roc_auc").alias("train_auc"),
+                 pick("val", "roc_auc").alias("val_auc")))

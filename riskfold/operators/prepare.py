@@ -7,21 +7,17 @@ aggregation; nothing row-level is collected.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import cut_lineage
 from .stats import column_stats, exact_quantiles
 
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast only after checking the size; otherwise a normal join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+CODES_PER_RANGE = 200_000
 
 
 def as_text(c: str):
@@ -32,57 +28,40 @@ def as_text(c: str):
 # --------------------------------------------------------------------------
 # label encoding: sorted distinct text -> 0..k-1
 # --------------------------------------------------------------------------
-def label_encode_fit(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Code table (column, value, code); codes follow alphabetical order."""
-    parts = [F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in cols]
-    distinct = df.select(F.inline(F.array(*parts))).distinct()
-    # the window runs over distinct values only, partitioned by column
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("double"))
-
-
-def code_maps(codes: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> dict | None:
-    """The code table as {column: {value: code}} when its size is checked
-    to be small; None when it is not (then encoding joins instead)."""
-    rows = codes.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["column"], {})[r["value"]] = r["code"]
-    return out
-
+def label_encode_fit(df: DataFrame, cols: list[str], per_range: int = CODES_PER_RANGE) -> DataFrame:
+    """Code table (column, value, code); codes follow alphabetical order.
 
-def label_encode_apply(df: DataFrame, codes, cols: list[str],
+    The rank is two-level: the distinct values are written in sorted ranges of
+    about ``per_range`` values, numbered inside their range, and shifted by the
+    sizes of the column's earlier ranges (one row a range), so a column of many
+    values has no task that sees them all. ``per_range`` never changes a code."""
+    parts = [F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in cols]
+    distinct = cut_lineage(df.select(F.inline(F.array(*parts))).distinct(), "codes-distinct")
+    ranges = max(1, math.ceil(distinct.count() / per_range))
+    dealt = (distinct.repartitionByRange(ranges, "column", "value")
+             .withColumn("range", F.spark_partition_id()))
+    dealt = cut_lineage(dealt, "codes-ranges")              # ranges are sampled: fixed by writing
+    sizes = dealt.groupBy("column", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("column", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("column", "range").orderBy("value")
+    codes = (dealt.withColumn("place", F.row_number().over(inside) - 1).join(sizes, ["column", "range"])
+             .select("column", "value", (F.col("before") + F.col("place")).cast("double").alias("code")))
+    return cut_lineage(codes, "codes")
+
+
+def label_encode_apply(df: DataFrame, codes: DataFrame, cols: list[str],
                        unseen_code: float = 0.0, keep_text: bool = False) -> DataFrame:
-    """Replace each text column by its code; unseen text takes the code of
-    the first class (0), as the single-applicant path of the reference.
-
-    ``codes`` is a code table DataFrame or the dict of ``code_maps``. A small
-    table becomes literal maps in the projection (no join, no shuffle); a
-    large one is joined.
-    """
-    maps = codes if isinstance(codes, dict) else code_maps(codes)
-    if maps is not None:
-        new = {}
-        for c in cols:
-            kv = maps.get(c, {})
-            m = F.create_map(*[x for v, k in sorted(kv.items()) for x in (F.lit(v), F.lit(float(k)))])
-            code = F.coalesce(F.try_element_at(m, as_text(c)), F.lit(unseen_code)) if kv else F.lit(unseen_code)
-            new[f"{c}_code" if keep_text else c] = code
-        return df.withColumns(new)
-    codes = broadcast_if_small(codes)
+    """Replace each text column by its code, joined from the code table (Spark
+    broadcasts a column's codes when they turn out small); unseen text takes the
+    code of the first class (0), as the single-applicant path of the reference."""
     out = df
     for c in cols:
         m = codes.filter(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"),
                                                        F.col("code").alias(f"__code_{c}"))
         out = out.join(m, as_text(c) == m[f"__v_{c}"], "left")
         new = F.coalesce(F.col(f"__code_{c}"), F.lit(unseen_code))
-        if keep_text:
-            out = out.withColumn(f"{c}_code", new)
-        else:
-            out = out.withColumn(c, new)
-        out = out.drop(f"__v_{c}", f"__code_{c}")
+        out = out.withColumn(f"{c}_code" if keep_text else c, new).drop(f"__v_{c}", f"__code_{c}")
     return out
 
 
@@ -90,7 +69,7 @@ def unseen_categories(df: DataFrame, codes: DataFrame, cols: list[str], id_col:
     """Rows whose category has no code (the anti-join side of the fallback)."""
     parts = [F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in cols]
     long = df.select(id_col, F.inline(F.array(*parts)))
-    return long.join(broadcast_if_small(codes.select("column", "value")), ["column", "value"], "left_anti")
+    return long.join(codes.select("column", "value"), ["column", "value"], "left_anti")
 
 
 # --------------------------------------------------------------------------
@@ -101,17 +80,59 @@ def impute_median_fit(df: DataFrame, cols: list[str]) -> dict[str, float | None]
     return {c: q[(c, 0.5)] for c in cols}
 
 
-def impute_most_frequent_fit(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Mode per column, ties -> smallest value; aggregates only (no window
-    over a column's distinct values, which can be many)."""
-    parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
-    counts = (df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.groupBy("column").agg(F.max("n").alias("top"))
-    best = (counts.join(top, "column").where(F.col("n") == F.col("top"))
-            .groupBy("column").agg(F.min("value").alias("mode")))
-    res = {r["column"]: r["mode"] for r in best.collect()}  # one row per column
-    return {c: res.get(c) for c in cols}
+def proven_mode(candidates: list[tuple[float, int]], listed: int, least_listed: int, error: float) -> float | None:
+    """The mode when no other value can be as frequent, else None.
+
+    ``candidates``: exact (value, count) of the values that the sketch listed;
+    a value that it didn't list has at most ``error`` rows more than the least
+    listed estimate (or than 0, when fewer than ``listed`` came back)."""
+    if not candidates:
+        return None
+    best = max(n for _, n in candidates)
+    others = (least_listed if len(candidates) >= listed else 0) + error
+    return min(v for v, n in candidates if n == best) if best > others else None
+
+
+def impute_most_frequent_fit(df: DataFrame, cols: list[str], listed: int = 32, tracked: int = 4096
+                             ) -> dict[str, float | None]:
+    """Mode per column, ties -> smallest value.
+
+    One pass keeps a mergeable frequent-items sketch a column (``tracked`` items,
+    so the shuffle is bounded by sketches). A second pass counts the listed
+    candidates exactly. Where the sketch's error bound leaves a doubt that an
+    unlisted value is as frequent (flat columns), and only there, all distinct
+    values are counted."""
+    def counted(names: list[str], only: dict[str, list[float]] | None = None) -> DataFrame:
+        parts = []
+        for c in names:
+            v = F.col(c).cast("double")
+            v = F.when(v.isin(only[c]), v) if only else v
+            parts.append(F.struct(F.lit(c).alias("column"), v.alias("value")))
+        long = df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
+        return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    top = df.agg(*[F.expr(f"approx_top_k(cast(`{c}` as double), {listed}, {tracked})").alias(f"t_{i}")
+                   for i, c in enumerate(cols)],
+                 *[F.count(F.col(c).cast("double")).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+    lists = {c: [r for r in (top[f"t_{i}"] or []) if r["item"] is not None] for i, c in enumerate(cols)}
+    some = [c for c in cols if lists[c]]
+    exact: dict[str, list] = {c: [] for c in cols}
+    if some:
+        for r in counted(some, {c: [r["item"] for r in lists[c]] for c in some}).collect():  # listed x columns rows
+            exact[r["column"]].append((r["value"], r["n"]))
+    # the sketch's map holds a power of two of items, three quarters of it in use
+    size = 1 << math.ceil(math.log2(tracked / 0.75))
+    out: dict[str, float | None] = {}
+    open_cols = []
+    for i, c in enumerate(cols):
+        error = 3.5 * top[f"n_{i}"] / size if top[f"n_{i}"] > tracked else 0.0
+        out[c] = proven_mode(exact[c], listed, min((r["count"] for r in lists[c]), default=0), error)
+        if out[c] is None and top[f"n_{i}"]:
+            open_cols.append(c)
+    if open_cols:
+        counts = counted(open_cols)
+        best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b"))
+        out.update({r["column"]: r["b"]["value"] for r in best.collect()})                   # one row a column
+    return out
 
 
 def impute_apply(df: DataFrame, fill: dict[str, float | None]) -> DataFrame:

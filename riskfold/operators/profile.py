@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from .. import constants as C
 from ..functions.rules import label_name, log1p_clipped
+from ..session import cut_lineage
 from .stats import column_stats, exact_quantiles
 
 
@@ -108,6 +109,7 @@ def drop_nulls_for_profile(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> DataFrame:
     """count, mean, std (ddof 1), min, exact quartiles, max; rounded half-even."""
     cols = cols or numeric_columns(df)
+    df = cut_lineage(df.select(*cols), "describe")          # several passes follow
     st = column_stats(df, cols)
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], stats=st)
     aggs = []

@@ -1,23 +1,22 @@
 """Recursive feature elimination with cross-validation, and forest importance.
 
-Each step scores the current feature set by k-fold macro-F1 of a forest
-(60 trees, depth 6; folds fitted concurrently) and then drops the feature
-with the lowest importance of a forest fitted on all training rows. The
-curve (n_features, mean, std) is kept; the best count wins, ties go to fewer
-features. Ranking comes from the full training rows rather than per fold:
-one fit per step instead of k.
+Every fold walks its own path: a forest (60 trees, depth 6) is fitted on the
+fold's training rows, its macro F1 on the validation rows is the score of that
+feature count, and its least important feature goes. The folds' curves are
+averaged; the best count wins, ties go to fewer features. A last path on all
+training rows then drops features down to that count.
 """
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .evaluate import macro_metrics
-from .models import fit_forest, scored_rows
+from .models import fit_forest
 
 
 def forest_importance(train: DataFrame, features: list[str], num_trees: int = 100, max_depth: int = 8,
@@ -28,32 +27,70 @@ def forest_importance(train: DataFrame, features: list[str], num_trees: int = 10
                                               "feature string, importance double")
 
 
+def macro_f1(counts: dict[tuple[int, int], int]) -> float:
+    """Macro F1 of {(true class, predicted class): rows}; a class counts when it
+    is in either."""
+    classes = sorted({c for pair in counts for c in pair})
+    out = []
+    for c in classes:
+        tp = counts.get((c, c), 0)
+        wrong = sum(n for (y, p), n in counts.items() if (y == c) != (p == c))
+        out.append(2 * tp / (2 * tp + wrong) if tp else 0.0)
+    return float(np.mean(out)) if out else 0.0
+
+
+def _fit(rows: DataFrame, places: list[int], num_trees: int, max_depth: int, label: str):
+    """A forest on some of the assembled features: one plan for all subsets."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorSlicer
+    cut = VectorSlicer(inputCol="all", outputCol="features", indices=places)
+    est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
+                                 seed=C.SEED)
+    model = est.fit(cut.transform(rows))
+    weakest = min(zip(places, model.featureImportances.toArray().tolist()), key=lambda x: (x[1], x[0]))[0]
+    return cut, model, weakest
+
+
 def rfecv(train: DataFrame, features: list[str], fold_col: str, k: int = 3,
           min_features: int = C.RFECV_MIN_FEATURES, num_trees: int = 60, max_depth: int = 6,
           label: str = C.LABEL, parallelism: int = 8):
-    """Returns (selected feature list, curve DataFrame)."""
-    current = list(features)
-    curve = []
+    """Returns (selected features, curve (n_features, mean, std), the folds'
+    paths (fold, n_features, f1, dropped))."""
+    from .crossval import fit_table
+    whole = VectorAssembler(inputCols=features, outputCol="all", handleInvalid="keep").transform(train)
+    whole = fit_table(whole.select(C.ID, label, fold_col, "all"), "rfecv", [C.ID])
 
-    def fold_f1(args):
-        feats, f = args
-        m = fit_forest(train.filter(F.col(fold_col) != f), feats, num_trees, max_depth, 1)
-        s = scored_rows(m, train.filter(F.col(fold_col) == f).withColumn("split", F.lit("test")), label)
-        return macro_metrics(s).first()["f1_macro"]
+    def fold_path(f):
+        tr, te = whole.filter(F.col(fold_col) != f), whole.filter(F.col(fold_col) == f)
+        places, path = list(range(len(features))), []
+        while True:
+            cut, model, weakest = _fit(tr, places, num_trees, max_depth, label)
+            # classes x classes rows
+            rows = (model.transform(cut.transform(te)).groupBy(label, F.col("prediction").cast("int").alias("pred"))
+                    .agg(F.count(F.lit(1)).alias("n")).collect())
+            f1 = macro_f1({(r[label], r["pred"]): r["n"] for r in rows})
+            if len(places) <= min_features:
+                return [*path, (f, len(places), f1, None)]
+            path.append((f, len(places), f1, features[weakest]))
+            places = [p for p in places if p != weakest]
 
-    with ThreadPoolExecutor(parallelism) as ex:
+    def whole_path():
+        places, sets = list(range(len(features))), {}
         while True:
-            fut_scores = [ex.submit(fold_f1, (list(current), f)) for f in range(k)]
-            fut_rank = ex.submit(fit_forest, train, list(current), num_trees, max_depth, 1) \
-                if len(current) > min_features else None
-            scores = [x.result() for x in fut_scores]
-            curve.append((len(current), float(np.mean(scores)), float(np.std(scores)), list(current)))
-            if fut_rank is None:
-                break
-            imp = fut_rank.result().info["importances"]
-            weakest = min(current, key=lambda c: (imp[c], c))
-            current = [c for c in current if c != weakest]
+            sets[len(places)] = [features[p] for p in places]
+            if len(places) <= min_features:
+                return sets
+            weakest = _fit(whole, places, num_trees, max_depth, label)[2]
+            places = [p for p in places if p != weakest]
+    with ThreadPoolExecutor(min(parallelism, k + 1)) as ex:
+        final = ex.submit(whole_path)
+        paths = [p for path in ex.map(fold_path, range(k)) for p in path]
+        sets = final.result()
+    curve = []
+    for n in sorted({p[1] for p in paths}, reverse=True):
+        f1 = [p[2] for p in paths if p[1] == n]
+        curve.append((n, float(np.mean(f1)), float(np.std(f1))))
     best = max(curve, key=lambda r: (r[1], -r[0]))
     spark = train.sparkSession
-    curve_df = spark.createDataFrame([(n, m, s) for n, m, s, _ in curve], "n_features int, mean double, std double")
-    return sorted(best[3]), curve_df
+    return (sorted(sets[best[0]]), spark.createDataFrame(curve, "n_features int, mean double, std double"),
+            spark.createDataFrame(paths, "fold int, n_features int, f1 double, dropped string"))

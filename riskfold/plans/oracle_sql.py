@@ -110,11 +110,6 @@ def bins_sql(x: str, edges, labels) -> str:
     return "CASE " + " ".join(parts) + f" ELSE '{C.MISSING_BIN}' END"
 
 
-def _fix_lit(s: str) -> str:
-    # repr of 1e9 is '1000000000.0' -> '1000000000.0e0' is valid SQL in both engines
-    return s
-
-
 BIN_AGE_SQL = bins_sql("Age", C.AGE_EDGES, C.AGE_LABELS)
 BIN_DELAY_SQL = bins_sql("coalesce(Delay_from_due_date, 0e0)", C.DELAY_EDGES, C.DELAY_LABELS)
 

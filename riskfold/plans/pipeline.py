@@ -12,6 +12,7 @@ re-deriving it from the raw tables.
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +34,26 @@ class PrepState:
     scaler: PR.Affine
     features: list
 
+    def save(self, path: str) -> None:
+        """The state as a file set: one JSON row of numbers and the code table."""
+        spark = self.codes.sparkSession
+        plain = json.dumps({"income_max": self.income_max, "fill": self.fill, "shift": self.scaler.shift,
+                            "scale": self.scaler.scale, "features": self.features})
+        spark.createDataFrame([(plain,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/numbers")
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "PrepState":
+        d = json.loads(spark.read.text(f"{path}/numbers").first()["value"])
+        return PrepState(d["income_max"], spark.read.parquet(f"{path}/codes"), d["fill"],
+                         PR.Affine(d["shift"], d["scale"]), d["features"])
+
 
 def _encode(df: DataFrame, income_max: float, codes: DataFrame | None):
-    lin = R.log1p_linearise(df)
+    lin = R.log1p_linearise(R.normalise_missing(df))        # NaN is missing, like NULL
     binned = R.rebin(lin, income_max)
     if codes is None:
-        table = PR.label_encode_fit(binned, C.CAT_COLS)
-        codes = PR.code_maps(table) or table
+        codes = PR.label_encode_fit(binned, C.CAT_COLS)
     return PR.label_encode_apply(binned, codes, C.CAT_COLS), codes
 
 

@@ -142,7 +142,7 @@ def q_unseen(spark, sf):
     test = binned.filter(F.col("split") == "test")
     parts = [F.struct(F.lit(c).alias("column"), PR.as_text(c).alias("value")) for c in C.CAT_COLS]
     long = test.select(C.ID, F.inline(F.array(*parts)))
-    j = long.join(PR.broadcast_if_small(codes), ["column", "value"], "left")
+    j = long.join(codes, ["column", "value"], "left")
     return j.select(C.ID, "column", "value", F.coalesce(F.col("code"), F.lit(0.0)).alias("code"),
                     F.col("code").isNull().cast("int").alias("unseen"))
 
@@ -286,14 +286,12 @@ def q_class_profile(spark, sf):
     return P.class_profile(df.filter(F.col("split") == "train"), ALL)
 
 
-@register("features_minus_label", "column_name string, position int",
-          with_ctes(S, """
-SELECT column_name, CAST(row_number() OVER () - 1 AS INTEGER) AS position
-FROM (DESCRIBE SELECT * EXCLUDE (Credit_Score) FROM borrowers) d"""), ops=(64,))
+@register("features_minus_label", "borrower_id bigint, " + ", ".join(
+    f"{c} {'string' if c in ('Occupation', 'Credit_Mix', 'Payment_of_Min_Amount') else 'double'}"
+    for c in C.INPUT_COLUMNS), with_ctes(S, "SELECT * EXCLUDE (Credit_Score) FROM borrowers"), ops=(64,))
 def q_minus_label(spark, sf):
     from ..sources.tables import borrowers
-    cols = borrowers(spark, sf).drop(C.LABEL).columns
-    return spark.createDataFrame([(c, i) for i, c in enumerate(cols)], "column_name string, position int")
+    return borrowers(spark, sf).drop(C.LABEL)
 
 
 @register("bin_range_join", "borrower_id bigint, Age double, Age_Group string, Age_Group_join string",

@@ -158,12 +158,22 @@ def q_dropnull(spark, sf):
     return P.drop_nulls_for_profile(borrowers(spark, sf), "Annual_Income").select(C.ID, "Annual_Income")
 
 
-@register("select_by_dtype", "column_name string, kind string",
-          with_ctes(B, """
-SELECT column_name, CASE WHEN column_type = 'VARCHAR' THEN 'object' ELSE 'numeric' END AS kind
-FROM (DESCRIBE SELECT * EXCLUDE (borrower_id, Credit_Score) FROM borrowers) d"""), ops=(11,))
+_KINDS = [(c, "object" if c in ("Occupation", "Credit_Mix", "Payment_of_Min_Amount") else "numeric")
+          for c in C.INPUT_COLUMNS]
+
+
+@register("select_by_dtype", "column_name string, kind string, n_values bigint, n_distinct bigint",
+          with_ctes(B, "\nUNION ALL\n".join(
+              f"SELECT '{c}' AS column_name, '{k}' AS kind, count({c}) AS n_values, "
+              f"count(DISTINCT {c}) AS n_distinct FROM borrowers" for c, k in _KINDS)), ops=(11,))
 def q_dtype(spark, sf):
-    return P.select_by_dtype(borrowers(spark, sf))
+    """The columns picked by type, with what they hold."""
+    b = borrowers(spark, sf)
+    kinds = {r["column_name"]: r["kind"] for r in P.select_by_dtype(b).collect()}       # one row a column
+    parts = [F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"), F.col(c).cast("string").alias("value"))
+             for c, k in kinds.items()]
+    values = b.select(F.inline(F.array(*parts))).groupBy("column_name", "kind", "value").agg(F.count("value").alias("n"))
+    return values.groupBy("column_name", "kind").agg(F.sum("n").alias("n_values"), F.count("value").alias("n_distinct"))
 
 
 @register("class_filter", "borrower_id bigint, Credit_Score int",

@@ -50,14 +50,3 @@ def write_parquet(df: DataFrame, name: str, path: str | None = None,
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives
-    executor loss (the alternative to ``checkpoint()`` for named tables)."""
-    spark = df.sparkSession
-    return spark.read.parquet(write_parquet(df, name))
-
-
-def lit_row(**kw):
-    return [F.lit(v).alias(k) for k, v in kw.items()]

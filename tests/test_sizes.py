@@ -61,3 +61,58 @@ def test_roc_starts_at_zero_and_best_model_is_first_of_the_board(spark):
     assert len(start) == 6 and {(r.tpr, r.fpr) for r in start} == {(0.0, 0.0)}
     m = EV.metrics_table(d)
     assert EV.best_model(m).first().best_model == EV.leaderboard(m).first().model == "a"
+
+
+def test_label_codes_do_not_depend_on_the_ranges(spark):
+    from riskfold.operators import prepare as PR
+    d = spark.createDataFrame([(f"v{i * 7919 % 3000:04d}", None if i % 50 == 0 else f"w{i % 13}") for i in range(4000)],
+                              "a string, b string")
+    want = {("a", v): float(k) for k, v in enumerate(sorted({f"v{i:04d}" for i in range(3000)}))}
+    want.update({("b", v): float(k) for k, v in enumerate(sorted({f"w{i}" for i in range(13)} | {"nan"}))})
+    for per in (200_000, 100):
+        codes = PR.label_encode_fit(d, ["a", "b"], per_range=per)
+        assert {(r["column"], r["value"]): r["code"] for r in codes.collect()} == want
+    got = PR.label_encode_apply(d.withColumn("t", F.col("a")), codes, ["a", "b"]).collect()
+    assert all(r["a"] == want["a", r["t"]] for r in got)
+
+
+def test_most_frequent_values_are_exact(spark):
+    from riskfold.operators import prepare as PR
+    rng = np.random.default_rng(2)
+    n = 6000
+    d = pd.DataFrame({"flat": np.arange(n, dtype=float) * 1.5, "zipf": rng.zipf(1.5, n).clip(0, 1e6).astype(float),
+                      "tie": np.r_[np.full(n // 2, 9.0), np.full(n // 2, 4.0)], "hot": np.r_[np.full(n // 3, -1.0), rng.normal(size=n - n // 3)],
+                      "none": np.full(n, np.nan)})
+    d.loc[::17, "tie"] = np.nan
+    df = spark.createDataFrame(d.where(d.notna(), None).astype(object), ", ".join(f"{c} double" for c in d.columns))
+    for tracked in (4096, 64):
+        got = PR.impute_most_frequent_fit(df, list(d.columns), listed=16, tracked=tracked)
+        for c in d.columns:
+            m = d[c].mode(dropna=True)
+            assert got[c] == (m.iloc[0] if len(m) else None), c
+    assert PR.proven_mode([(1.0, 50), (2.0, 50)], 2, 10, 30.0) == 1.0
+    assert PR.proven_mode([(1.0, 50), (2.0, 40)], 2, 40, 10.0) is None and PR.proven_mode([], 2, 0, 0.0) is None
+
+
+def test_restarted_stream_writes_no_row_twice_and_equals_batch(spark, tmp_path):
+    from riskfold.operators.models import fit_forest
+    from riskfold.plans import pipeline as PL
+    from riskfold.streaming import score_stream as ST
+    split = PL.split_borrowers(spark, "/root/testdata/sf0.001")
+    prep, state = PL.fit_prepare(split)
+    feats = C.ALL_FEATURES[:8]
+    scorer = ST.forest_file_scorer(state, fit_forest(prep.filter("split = 'train'"), feats, 5, 3))
+    saved = scorer.save(spark, str(tmp_path / "scorer"))
+    apps = split.drop(C.LABEL, "split", "fold5", "fold3")
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    apps.where("borrower_id % 2 = 0").write.parquet(src)
+    first = ST.run_stream(spark, src, apps.schema, saved, out, ckpt, files_per_trigger=1)
+    assert first.count() == apps.where("borrower_id % 2 = 0").count()
+    apps.where("borrower_id % 2 = 1").write.mode("append").parquet(src)
+    import shutil
+    again = str(tmp_path / "ckpt-again")    # without the commits the last batch looks unfinished: it runs again
+    shutil.copytree(ckpt, again, ignore=shutil.ignore_patterns("commits"))
+    got = ST.run_stream(spark, src, apps.schema, saved, out, again)
+    batch = ST.score_frame(apps, ST.load_scorer(spark, saved))
+    key = lambda d: sorted(map(tuple, d.select(*ST.SCORED).collect()))
+    assert key(got) == key(batch) == key(ST.score_frame(apps, scorer)) and got.count() == apps.count()
