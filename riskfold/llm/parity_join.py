@@ -188,6 +188,21 @@ def _distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def _pair_distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Hamming distance of each sketch of ``a`` to that of ``b`` in its place."""
+    out = np.zeros(len(a), np.int64)
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    for x, y in {(int(p), int(q)) for p, q in zip(la, lb)}:
+        at = np.flatnonzero((la == x) & (lb == y))
+        u, v = (np.frombuffer(b"".join([s[k] for k in at]), np.uint64).reshape(len(at), -1) for s in (a, b))
+        while u.shape[1] > v.shape[1]:
+            u = u[:, :u.shape[1] // 2] ^ u[:, u.shape[1] // 2:]
+        while v.shape[1] > u.shape[1]:
+            v = v[:, :v.shape[1] // 2] ^ v[:, v.shape[1] // 2:]
+        out[at] = np.bitwise_count(u ^ v).sum(1)
+    return out
+
+
 # bands of set sizes [BOUNDS[k], BOUNDS[k + 1]); partners (at most 5/4 as large)
 # lie in the same band or the next. Sets below 4 link only when equal.
 BOUNDS = [4]
@@ -367,8 +382,7 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).astype(float)
-            apart = np.array([_distances([x], [y])[0, 0] for x, y in
-                              zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())], float)
+            apart = _pair_distances(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()).astype(float)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"),
                                               pa.array(apart / np.maximum(n, 1))], ["a", "b", "d"])
             yield out.filter(pa.array(9 * apart <= n))

@@ -239,3 +239,14 @@ def test_letter_bound_of_landmarks_is_proven():
                 assert ((i, j) in got) == (k > toxicity.FLOOR)
                 assert (i, j) not in got or abs(got[i, j] - k * k) < 1e-4
     assert np.linalg.eigvalsh(marks.gram()).min() > -1e-6
+
+
+def test_pair_distances_equal_the_matrix():
+    rnd = np.random.default_rng(5)
+    sizes = [3, 40, 900, 1500, 2600]
+    sets = [np.unique(rnd.integers(0, 1 << 60, n).astype(np.uint64)) for n in sizes for _ in range(3)]
+    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    sk = parity_join.bit_sketches(np.concatenate(sets), ends)
+    a, b = sk, sk[4:] + sk[:4]
+    want = parity_join._distances(a, b)
+    assert parity_join._pair_distances(a, b).tolist() == [int(want[i, i]) for i in range(len(a))]
