@@ -80,16 +80,16 @@ def impute_median_fit(df: DataFrame, cols: list[str]) -> dict[str, float | None]
     return {c: q[(c, 0.5)] for c in cols}
 
 
-def proven_mode(candidates: list[tuple[float, int]], listed: int, least_listed: int, error: float) -> float | None:
+def proven_mode(candidates: list[tuple[float, int]], least_listed: int, error: float) -> float | None:
     """The mode when no other value can be as frequent, else None.
 
     ``candidates``: exact (value, count) of the values that the sketch listed;
-    a value that it didn't list has at most ``error`` rows more than the least
-    listed estimate (or than 0, when fewer than ``listed`` came back)."""
+    a value that it didn't list has at most ``error`` rows more than
+    ``least_listed``, the least listed estimate (0 when the list isn't full)."""
     if not candidates:
         return None
     best = max(n for _, n in candidates)
-    others = (least_listed if len(candidates) >= listed else 0) + error
+    others = least_listed + error
     return min(v for v, n in candidates if n == best) if best > others else None
 
 
@@ -112,6 +112,7 @@ def impute_most_frequent_fit(df: DataFrame, cols: list[str], listed: int = 32, t
         return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     top = df.agg(*[F.expr(f"approx_top_k(cast(`{c}` as double), {listed}, {tracked})").alias(f"t_{i}")
                    for i, c in enumerate(cols)],
+                 F.count(F.lit(1)).alias("n"),
                  *[F.count(F.col(c).cast("double")).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
     lists = {c: [r for r in (top[f"t_{i}"] or []) if r["item"] is not None] for i, c in enumerate(cols)}
     some = [c for c in cols if lists[c]]
@@ -124,8 +125,9 @@ def impute_most_frequent_fit(df: DataFrame, cols: list[str], listed: int = 32, t
     out: dict[str, float | None] = {}
     open_cols = []
     for i, c in enumerate(cols):
-        error = 3.5 * top[f"n_{i}"] / size if top[f"n_{i}"] > tracked else 0.0
-        out[c] = proven_mode(exact[c], listed, min((r["count"] for r in lists[c]), default=0), error)
+        got = top[f"t_{i}"] or []                           # NULL is listed like a value
+        least = min(r["count"] for r in got) if len(got) >= listed else 0
+        out[c] = proven_mode(exact[c], least, 3.5 * top["n"] / size if top["n"] > tracked else 0.0)
         if out[c] is None and top[f"n_{i}"]:
             open_cols.append(c)
     if open_cols:

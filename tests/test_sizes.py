@@ -90,8 +90,8 @@ def test_most_frequent_values_are_exact(spark):
         for c in d.columns:
             m = d[c].mode(dropna=True)
             assert got[c] == (m.iloc[0] if len(m) else None), c
-    assert PR.proven_mode([(1.0, 50), (2.0, 50)], 2, 10, 30.0) == 1.0
-    assert PR.proven_mode([(1.0, 50), (2.0, 40)], 2, 40, 10.0) is None and PR.proven_mode([], 2, 0, 0.0) is None
+    assert PR.proven_mode([(1.0, 50), (2.0, 50)], 10, 30.0) == 1.0
+    assert PR.proven_mode([(1.0, 50), (2.0, 40)], 40, 10.0) is None and PR.proven_mode([], 0, 0.0) is None
 
 
 def test_restarted_stream_writes_no_row_twice_and_equals_batch(spark, tmp_path):
