@@ -32,7 +32,7 @@ def _edge(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(ORACLE[name]).fetchall()
     cols = [d[0] for d in con.description] if con.description else con.sql(ORACLE[name]).columns
