@@ -15,7 +15,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
 from ..sources.tables import table
 
 __all__ = ["prepare", "table", "cut_lineage", "fresh", "sha_hex", "text_bytes",
-           "crc_fold", "small_enough", "with_row_key", "components", "SPACE"]
+           "crc_fold", "release", "small_enough", "with_row_key", "components", "SPACE"]
 
 SPACE = r"[^\x20\x09-\x0D]+"       # a word of the white-space tokeniser
 
@@ -23,9 +23,18 @@ SPACE = r"[^\x20\x09-\x0D]+"       # a word of the white-space tokeniser
 ARROW_BATCH_BYTES = 8 << 20     # of a batch that a Python worker gets
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what ended queries left: plans, broadcasts and shuffle files are
+    only cleaned once the driver's collectors meet them."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder, package for executors and small Arrow batches, so that
     a Python worker's memory does not depend on row counts (idempotent)."""
+    release(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(spark.conf.get(name)).rstrip("b")) > ARROW_BATCH_BYTES:
         spark.conf.set(name, str(ARROW_BATCH_BYTES))

@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, fresh, small_enough, text_bytes
+from .common import components, cut_lineage, fresh, release, small_enough, text_bytes
 
 SHINGLE = 5
 HOT = 12
@@ -481,6 +481,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     none = reps.sparkSession.createDataFrame([], "a long, b long")
     links, tested, comp = none, none, none.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for nearest in (True, True, False):
+        release(reps.sparkSession)
         of = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias("r" + c))  # noqa: E731,B023
         near = block.join(of("cls"), "cls", "left").withColumn("comp", F.coalesce("rcls", "cls")).drop("rcls")
         left = (cold.join(of("a"), "a", "left").join(of("b"), "b", "left")
