@@ -233,7 +233,7 @@ def fit_svm_rff(train: DataFrame, features: list[str], C_: float = 1.0, n_comp:
     n = ztr.count()
 
     def svm(rows, n_rows):
-        return LinearSVC(featuresCol="features", labelCol="__yb", regParam=1.0 / (C_ * n_rows), maxIter=100).fit(rows)
+        return LinearSVC(featuresCol="features", labelCol="__yb", regParam=1.0 / (C_ * n_rows), maxIter=50).fit(rows)
 
     def margin(m, rows):
         return (m.transform(rows).withColumn("__m", vector_to_array("rawPrediction")[1])

@@ -51,6 +51,11 @@ def q_leaderboard_models(spark, sf):
     return EV.leaderboard(T.ledger(spark, sf))
 
 
+@register("leaderboard_boosting", METRICS, None, ops=(50,))
+def q_leaderboard_boosting(spark, sf):
+    return EV.leaderboard(T.boosting_ledger(spark, sf))
+
+
 @register("cross_validate", "model string, fold int, roc_auc double", None, ops=(109,))
 def q_cv(spark, sf):
     return T.cv_results(spark, sf)

@@ -32,8 +32,10 @@ FOLDS, SEARCH_FOLDS = 5, 3
 TUNED_FOREST = "Random Forest (tuned)"
 TUNED_BOOSTING = "Gradient Boosting (tuned trees)"
 BASE_MODELS = [*M.MODEL_BUILDERS, TUNED_FOREST, TUNED_BOOSTING]
-# one-vs-rest boosting runs hundreds of small jobs a fit: cross-validated apart
+# one-vs-rest boosting runs thousands of small jobs a fit: it has a ledger and a
+# cross-validation of its own, and the ensembles draw their members from the others
 BOOSTERS = ["Gradient Boosting", "Gradient Boosting (200 rounds)", TUNED_BOOSTING]
+MEMBERS = [n for n in BASE_MODELS if n not in BOOSTERS]
 
 
 def _key(spark: SparkSession, sf: str, what: str):
@@ -125,8 +127,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def all_base_scored(spark: SparkSession, sf: str) -> DataFrame:
     def build():
         base(spark, sf)
-        with ThreadPoolExecutor(len(BASE_MODELS)) as ex:
-            return cut_lineage(_union(list(ex.map(lambda n: model_scored(spark, sf, n), BASE_MODELS))), "scored-base")
+        with ThreadPoolExecutor(len(MEMBERS)) as ex:
+            return cut_lineage(_union(list(ex.map(lambda n: model_scored(spark, sf, n), MEMBERS))), "scored-base")
     return _memo(spark, sf, "scored:base", build)
 
 
@@ -165,11 +167,10 @@ def all_scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cv_results(spark: SparkSession, sf: str) -> DataFrame:
-    """(model, fold, roc_auc) of the models and both ensembles; of the boosters
-    only those that are members of the ensembles."""
+    """(model, fold, roc_auc) of the models (boosters apart) and both ensembles."""
     def build():
         names = top4(spark, sf)
-        rows = oof(spark, sf, [n for n in BASE_MODELS if n not in BOOSTERS or n in names])
+        rows = oof(spark, sf, MEMBERS)
         members = cut_lineage(rows.where(F.col("model").isin(names)), "oof-members")
         every = rows.unionByName(CV.vote_oof(members, names)).unionByName(CV.stacking_oof(members, names, FOLDS))
         return cut_lineage(CV.fold_scores(every), "cv")
@@ -182,11 +183,19 @@ def boosting_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """One row a model: test metrics, cross-validated mean and deviation (NULL
-    for boosters that are no members of the ensembles)."""
-    return EV.metrics_table(all_scored(spark, sf)).join(EV.cv_mean_std(cv_results(spark, sf)), "model", "left")
+    """One row a model: test metrics, cross-validated mean and deviation."""
+    return EV.metrics_table(all_scored(spark, sf)).join(EV.cv_mean_std(cv_results(spark, sf)), "model")
+
+
+def boosting_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Test metrics of the boosters."""
+    def build():
+        base(spark, sf)
+        with ThreadPoolExecutor(len(BOOSTERS)) as ex:
+            return cut_lineage(_union(list(ex.map(lambda n: model_scored(spark, sf, n), BOOSTERS))), "scored-boosters")
+    return EV.metrics_table(_memo(spark, sf, "scored:boosters", build))
 
 
 def winner(spark: SparkSession, sf: str) -> str:
-    """The single model of the best AUC (ensembles aside)."""
+    """The single model of the best AUC (boosters and ensembles aside)."""
     return top4(spark, sf)[0]
