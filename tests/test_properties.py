@@ -168,16 +168,18 @@ def test_nb_attributions_sum_to_score_minus_mean(spark):
 def test_stream_equals_batch(spark):
     from riskfold.operators.naive_bayes import gaussian_nb_fit
     from riskfold.sources import files
-    from riskfold.streaming.score_stream import run_stream, score_frame
+    from riskfold.streaming.score_stream import nb_scorer, run_stream, score_frame
     split = PL.split_borrowers(spark, SF_SMALL)
     prep, state = PL.fit_prepare(split)
     nb = gaussian_nb_fit(prep.filter("split = 'train'"), C.ALL_FEATURES)
     apps = split.drop(C.LABEL, "split", "fold5", "fold3")
     src = files.scratch_path(spark, "apps")
     apps.repartition(3).write.parquet(src)
-    out = run_stream(spark, src, apps.schema, state, nb, files.scratch_path(spark, "out"),
+    scorer = nb_scorer(state, nb)
+    saved = scorer.save(spark, files.scratch_path(spark, "scorer"))
+    out = run_stream(spark, src, apps.schema, saved, files.scratch_path(spark, "out"),
                      files.scratch_path(spark, "ckpt"))
-    batch = score_frame(apps, state, nb)
+    batch = score_frame(apps, scorer)
     cols = [C.ID, "score", "pred", "band"]
     assert out.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert out.count() == batch.count() == apps.count()
