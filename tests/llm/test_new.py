@@ -213,6 +213,18 @@ def test_collocations_equal_brute_force(spark, how):
     assert got == brute_phrases(data, how["support"], 25)
 
 
+def test_collocations_of_words_whose_numbers_agree(spark):
+    import numpy as np
+    import pyarrow as pa
+    h, _, _, row, new = phrases.piece_words(b"w113413 w68406", np.array([0, 14]))
+    numbers = phrases.word_numbers(h, row, new, phrases._lang_salts(pa.array(["en"])))
+    assert numbers[0] >> 1 == numbers[1] >> 1
+    data = [(i, t, "en", "s", 0, "p") for i, t in enumerate(["old w113413 x w68406 bar"] * 9 + ["old w68406 bar"] * 7)]
+    got = {(r["lang"], r["rank"]): (r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"])
+           for r in rows(phrases.top_collocations(spark.createDataFrame(data, DOCS).coalesce(1), support=5))}
+    assert got == brute_phrases(data, 5, 2000)
+
+
 def test_collocations_of_nothing(spark):
     d = spark.createDataFrame([(1, None, "en", "s", 0, "p"), (2, " , ", None, "s", 0, "p")], DOCS)
     assert phrases.top_collocations(d).count() == 0
