@@ -370,7 +370,11 @@ def train(bags, y: np.ndarray, words: list[str], c: float = 1.0) -> dict:
     if w is None:
         w = np.zeros(m + 1)
     f = np.array([top_sum(bag @ w[:m]) + w[m] for bag in dense])
-    a, b = platt(f, np.where(y > 0, 1, -1))
+    sign = np.where(y > 0, 1, -1)
+    a, b = platt(f, sign)
+    if a <= 0:                          # a few clean texts far out must not turn the order round
+        a, b = platt(np.clip(f, *np.quantile(f, [0.05, 0.95])), sign)
+        a = max(a, 1e-6)
     return {"words": words, "v": root @ w[:m], "bias": float(w[m]), "a": a, "b": b}
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskfold.llm import (bottomk, chat, decontam, html_text, mixing, parity_join, pii, quality, toxicity, warc)
-from riskfold.llm.common import components, cut_lineage
+from riskfold.llm.common import components, cut_lineage, platt
 from riskfold.llm.queries import ORACLE, QUERIES
 from riskfold.sources.files import scratch_path
 
@@ -422,6 +422,22 @@ def test_held_out_accuracy(spark, name, label, least):
     assert recall >= least[0] and precision >= least[1] and _auc(got["score"], got["y"]) >= least[2]
 
 
+def test_calibration_keeps_the_order_of_spread_margins():
+    f = np.array([-1.3] * 200 + [0.1] * 2400 + [5.0] * 100 + [1.0] * 30 + [3.0] * 150 + [5.5] * 130 + [50.0] * 20)
+    y = np.array([-1] * 2700 + [1] * 330)
+    a, b = platt(f, y)
+    p = 1 / (1 + np.exp(-np.clip(a * f + b, -40, 40)))
+    assert len(np.unique(p)) == len(np.unique(f)) and _auc(p, (y + 1) // 2) == _auc(f, (y + 1) // 2)
+    assert abs(p.mean() - (y > 0).mean()) < 0.01
+
+
+def test_toxicity_order_with_clean_outliers():
+    bags = [[{0: 1.0}]] * 100 + [[]] * 90 + [[{0: 60.0}]] * 10
+    model = toxicity.train(bags, np.array([1] * 100 + [0] * 100), ["^idiot"])
+    none, one = toxicity.scorer(model)(pa.array(["a fine day", "you idiot"]))
+    assert one > none or model["v"][0] <= 0
+
+
 def test_toxicity_scores_by_plain_loops(spark):
     """The scorer against the kernel evaluated pair by pair."""
     words = ["^idiot", "^stupi", "^loser"]
