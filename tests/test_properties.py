@@ -92,6 +92,26 @@ def test_knn_join_equals_brute_force_at_every_size(spark):
     assert lost.count() == 0 and knn_join(qs, refs.limit(0), 7, feats, qid="qid", rid="rid").count() == 0
 
 
+def test_near_pairs_lose_no_neighbour():
+    """Far fewer pairs than all get an exact distance, whatever the units are."""
+    from riskfold.operators.neighbors import distances, near_pairs
+    rng = np.random.default_rng(0)
+    for scale, off in ((1, 0), (1, 1e5), (1e-12, 0), (1e20, 0)):
+        x, y = (rng.normal(size=(n, 30)) * scale + off for n in (100, 3000))
+        y[:3] *= 1000
+        y[50:90] = y[50]                                    # ties
+        x[:5] = y[50]
+        d = distances(x, y)
+        kth = np.partition(d, 4, axis=1)[:, 4]
+        need = {tuple(p) for p in np.argwhere(d <= kth[:, None]).tolist()}
+        for within in (np.full(100, np.inf), kth):
+            got = set()
+            for i, j, dist in near_pairs(x, y, 5, within):
+                assert (dist == d[i, j]).all()
+                got |= set(zip(i.tolist(), j.tolist()))
+            assert need <= got and len(got) < 0.02 * d.size
+
+
 def test_knn_join_inside_groups_without_the_row_itself(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame(np.round(rng.normal(size=(200, 3)), 1), columns=["a", "b", "c"])
