@@ -9,9 +9,8 @@ matches, in code points.
 
 On top of them high-recall generators propose spans (numbers with loose
 separators, dotted or coloured address forms, written-out addresses), which may
-overlap. Boosted trees (MLlib, fitted on at most about ``fit_docs`` documents,
-taken by hash) tell them apart by format and context. Their examples come from
-the texts without contradicting the base patterns: each base span found is
+overlap. Boosted trees (MLlib, fitted on all documents) tell them apart by
+format and context. Their examples come from the texts without contradicting the base patterns: each base span found is
 written anew in forms the patterns don't match (other separators, brackets,
 spelled-out signs, no plus; half of them behind a cue word), set back between
 its own neighbours, and what the generators find there is positive; candidates
@@ -59,6 +58,8 @@ GENERATORS = {
 }
 # cheap tests that a text must pass before a pattern is tried on it
 _GATE = {"email": r"@|[\[({] ?at ?[\])}]", "ip": "[0-9A-Fa-f][.:-]", "card": "[0-9]", "phone": "[0-9]"}
+# a text without any of these holds no span: patterns need a digit or an address sign
+_ANY = r"[0-9@]|[\[({] ?at ?[\])}]"
 _BLOCK = 256
 
 SPAN = "struct<kind:string,start:int,end:int,base:boolean>"
@@ -270,18 +271,15 @@ def _tree(node, x: Column) -> Column:
                   _tree(node.leftChild(), x)).otherwise(_tree(node.rightChild(), x))
 
 
-def fit(docs: DataFrame, text_col: str, fit_docs: int = 20_000, precision: float = 0.95,
-        rounds: int = 8, depth: int = 3, seed: int = 7):
+def fit(docs: DataFrame, text_col: str, precision: float = 0.95, rounds: int = 8, depth: int = 3, seed: int = 7):
     """(score, thresholds): a function array<double> Column -> probability
     Column, and the selecting threshold per kind; None without examples.
 
-    The examples come from at most about ``fit_docs`` documents, taken by hash.
+    All documents give examples, half of them for the trees and half for the
+    thresholds; the examples stay distributed.
     """
-    n = docs.count()
-    d = docs.select(F.col(text_col).alias("t")).where("t is not null")
-    if n > fit_docs:
-        share = int(2 ** 31 * fit_docs / n)
-        d = d.where(F.pmod(F.xxhash64("t"), F.lit(2 ** 31)) < share)
+    # other texts hold no base span and no candidate
+    d = docs.select(F.col(text_col).alias("t")).where(F.col("t").rlike(_ANY))
     c = examples(d).withColumn("train", F.pmod(F.col("h"), F.lit(2)) == 0)
     c = cut_lineage(c.select("kind", "label", "train", "x"), "pii-examples")
     both = c.where("train").agg(F.min("label"), F.max("label")).first()
@@ -308,13 +306,12 @@ def fit(docs: DataFrame, text_col: str, fit_docs: int = 20_000, precision: float
     return score, cuts
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", keep=("doc_id",), fit_docs: int = 20_000,
-             precision: float = 0.95) -> DataFrame:
+def find_pii(docs: DataFrame, text_col: str = "text", keep=("doc_id",), precision: float = 0.95) -> DataFrame:
     """``keep`` columns, the text as ``text`` and ``spans`` array<struct<kind,
     start, end, base>> ordered by start, then kind."""
     keep = list(keep)
     text, spans = fresh("__t", keep), fresh("spans", keep)
-    model = fit(docs, text_col, fit_docs, precision)
+    model = fit(docs, text_col, precision)
     d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(text))
     t = F.col(text)
     d = d.withColumn(spans, base_spans(t))
@@ -334,7 +331,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep=("doc_id",), fit_docs
             return F.transform(F.sort_array(every), lambda x: F.struct(
                 x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
         # only texts with a digit or an address sign can hold a candidate
-        d = d.withColumn(spans, F.when(t.rlike(r"[0-9@]|[\[({] ?at ?[\])}]"), _let(F.col(spans), extra))
+        d = d.withColumn(spans, F.when(t.rlike(_ANY), _let(F.col(spans), extra))
                          .otherwise(F.col(spans)))
     return d
 

@@ -240,3 +240,20 @@ def test_words_of_a_long_text_are_cut_like_those_of_short_ones():
     assert (h.reshape(-1, 4) == h[:4]).all() and (new.reshape(-1, 4) == [True, False, True, False]).all()
     assert row.tolist() == [0] * 360000 + [1] * 4
     assert pd.Series([text[x:y] for x, y in zip(a[:8], b[:8])]).tolist() == [b"ab", b"cd", b"ef", b"gh"] * 2
+
+
+def test_pii_examples_come_from_all_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from riskfold.llm import pii
+
+    class Enough(Exception):
+        pass
+
+    def seen(docs, text_col="t"):
+        assert docs.count() == 30_000
+        raise Enough
+    monkeypatch.setattr(pii, "examples", seen)
+    d = spark.range(30_000).select(F.concat(F.lit("tel "), F.col("id").cast("string")).alias("text"))
+    with pytest.raises(Enough):
+        pii.fit(d, "text")
