@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import cut_lineage
 from .stats import exact_quantiles
 
 MI_BINS = 10
@@ -45,7 +46,8 @@ def mutual_information(df: DataFrame, features: list[str], label: str = C.LABEL,
     })
     pxy = F.col("n") / F.col("n_all")
     term = pxy * F.log(pxy / ((F.col("n_bin") / F.col("n_all")) * (F.col("n_y") / F.col("n_all"))))
-    return cont.groupBy("feature").agg(F.sum(term).alias("mi"))
+    # one row a feature, read again by every threshold and pass over the scores
+    return cut_lineage(cont.groupBy("feature").agg(F.sum(term).alias("mi")), "mi")
 
 
 def quantile_threshold_select(scores: DataFrame, col: str = "mi", q: float = C.MI_QUANTILE) -> DataFrame:

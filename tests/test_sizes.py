@@ -116,3 +116,38 @@ def test_restarted_stream_writes_no_row_twice_and_equals_batch(spark, tmp_path):
     batch = ST.score_frame(apps, ST.load_scorer(spark, saved))
     key = lambda d: sorted(map(tuple, d.select(*ST.SCORED).collect()))
     assert key(got) == key(batch) == key(ST.score_frame(apps, scorer)) and got.count() == apps.count()
+
+
+def test_quantiles_of_many_columns_take_few_passes_and_keep_infinities(spark, monkeypatch):
+    from riskfold.operators import stats as S
+    rng = np.random.default_rng(5)
+    x = {f"c{i}": rng.normal(size=3000) * 10.0 ** i for i in range(12)}
+    x["c0"][:900], x["c0"][900:1500], x["c1"][:2000] = -np.inf, np.inf, 7.0
+    d = spark.createDataFrame(pd.DataFrame(x)).repartition(3)
+    passes, plain = [], S._refine
+    monkeypatch.setattr(S, "_refine", lambda *a, **kw: (passes.append(1), plain(*a, **kw)))
+    probs = [i / 10 for i in range(1, 10)]
+    q = S.exact_quantiles(d, list(x), probs)
+    assert len(passes) <= 6
+    for c, v in x.items():
+        for p in probs:
+            s, h = np.sort(v), 2999 * p
+            with np.errstate(invalid="ignore"):
+                want = s[math.floor(h)] if h % 1 == 0 else s[math.floor(h)] + (s[math.floor(h) + 1] - s[math.floor(h)]) * (h % 1)
+            assert math.isnan(want) or math.isclose(q[(c, p)], want, rel_tol=1e-9)
+    assert q[("c1", 0.5)] == 7.0
+    got = S.order_statistics(d, {"c0": [0, 899, 900, 2399, 2400]}, S.column_stats(d, ["c0"]))
+    low, high = np.sort(x["c0"])[[900, 2399]]
+    assert [got[("c0", r)] for r in (0, 899, 900, 2399, 2400)] == [-math.inf, -math.inf, low, high, math.inf]
+
+
+def test_scores_and_encoded_rows_are_written_once(spark):
+    from riskfold.operators import selection as SEL
+    from riskfold.plans import pipeline as PL
+    rows = [(i, i % 3, float(i % 7), float(i)) for i in range(90)]
+    d = spark.createDataFrame(rows, f"id long, {C.LABEL} int, a double, b double")
+    mi = SEL.mutual_information(d, ["a", "b"])
+    assert mi.count() == 2 and "Aggregate" not in mi._jdf.queryExecution().optimizedPlan().toString()
+    split = PL.split_borrowers(spark, "/root/testdata/sf0.001")
+    prep, _ = PL.fit_prepare(split)
+    assert prep.count() == split.count() and "Join" not in prep._jdf.queryExecution().optimizedPlan().toString()
