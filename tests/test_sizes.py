@@ -151,3 +151,19 @@ def test_scores_and_encoded_rows_are_written_once(spark):
     split = PL.split_borrowers(spark, "/root/testdata/sf0.001")
     prep, _ = PL.fit_prepare(split)
     assert prep.count() == split.count() and "Join" not in prep._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_elimination_table_is_cut_by_the_width_of_its_vectors(spark, monkeypatch):
+    from riskfold.operators import crossval as CV
+    from riskfold.operators.rfe import rfecv
+    d = spark.createDataFrame([(i, i % 3, i % 2, *[float(i * j % 7 + i % 3) for j in range(1, 8)]) for i in range(96)],
+                              "borrower_id long, Credit_Score int, fold2 int, " + ", ".join(f"f{j} double" for j in range(7)))
+    seen, plain = [], CV.fit_table
+
+    def spy(*args, **kw):
+        seen.append(plain(*args, **kw))
+        return seen[-1]
+    monkeypatch.setattr(CV, "fit_table", spy)
+    monkeypatch.setattr(CV, "FIT_BYTES", 96 * 4 * 8)        # all rows, if a vector were one number
+    rfecv(d, [f"f{j}" for j in range(7)], "fold2", k=2, min_features=6, num_trees=2, max_depth=2)
+    assert len(seen) == 1 and len(seen[0].inputFiles()) == 3 and seen[0].count() == 96
