@@ -167,3 +167,42 @@ def test_elimination_table_is_cut_by_the_width_of_its_vectors(spark, monkeypatch
     monkeypatch.setattr(CV, "FIT_BYTES", 96 * 4 * 8)        # all rows, if a vector were one number
     rfecv(d, [f"f{j}" for j in range(7)], "fold2", k=2, min_features=6, num_trees=2, max_depth=2)
     assert len(seen) == 1 and len(seen[0].inputFiles()) == 3 and seen[0].count() == 96
+
+
+def test_cents_are_those_of_the_decimal_cast(spark):
+    from riskfold.sources.tables import MONEY, cents, from_cents
+    odd = [0.1, 0.005, 1.005, 2.675, -1.005, -0.01, 0.0, -0.0, 1 / 3, 123456789012.34, 99999999999999.99, 5e14 + 0.25,
+           1e-300, 33.335, None, float("nan"), float("inf"), 0.29, 4.35, 1.15]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x double")
+    got = d.select("x", cents(F.col("x")).alias("c"), (F.col("x").cast(MONEY) * 100).cast("bigint").alias("want")).collect()
+    assert [r.c for r in got] == [r.want for r in got]
+    s = d.agg(from_cents(F.sum(cents(F.col("x")))).alias("got"), F.sum(F.col("x").cast(MONEY)).cast("double").alias("want"))
+    assert s.first().got == s.first().want
+
+
+def test_line_items_are_summed_without_decimals_a_row(spark, tmp_path):
+    """Repeated suppliers, suppliers and customers that are NULL, a customer without taxes."""
+    from riskfold.sources.tables import customer_features
+    ts = "timestamp_ntz'2024-01-0{}'"
+    spark.sql("SELECT * FROM VALUES " + ", ".join(
+        f"({k}L, {c}, 'O', 10.1D, {ts.format(1)}, '{p}')" for k, c, p in
+        [(1, "7L", "a"), (2, "7L", "b"), (3, "8L", "a"), (4, "CAST(NULL AS BIGINT)", "a")])
+        + " AS t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES " + ", ".join(
+        f"({k}L, {s}, {q}D, {d}D, {t}, '{r}', {ts.format(3)})" for k, s, q, d, t, r in
+        [(1, "5L", 1, 0.1, "0.02D", "R"), (2, "5L", 2, 0.2, "0.03D", "N"), (2, "6L", 3, 0.3, "CAST(NULL AS DOUBLE)", "R"),
+         (1, "CAST(NULL AS BIGINT)", 4, 0.1, "0.01D", "N"), (3, "5L", 5, 0.1, "CAST(NULL AS DOUBLE)", "N"),
+         (4, "5L", 6, 0.1, "0.01D", "N"), (9, "5L", 6, 0.1, "0.01D", "N")])
+        + " AS t(l_orderkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, l_shipdate)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql(f"SELECT 1L AS event_id, 7L AS user_id, 'purchase' AS event_type, 0.1D AS value "
+              f"UNION ALL SELECT 2L, 7L, 'purchase', 0.2D UNION ALL SELECT 3L, 7L, 'view', 9D"
+              ).write.parquet(f"{tmp_path}/events.parquet")
+    o, l, e = customer_features(spark, str(tmp_path))
+    got = {r.l_custkey: tuple(r)[1:] for r in l.collect()}
+    assert got[7] == (2, 0.06 / 3, 8, 2, 0.7 / 4, 10.0)
+    assert got[8] == (1, None, 2, 0, 0.1, 5.0)
+    assert {r.o_custkey: (r.total, r.n_prio) for r in o.collect()}[7] == (20.2, 2)
+    assert [tuple(r) for r in e.collect()] == [(7, 3, 0.3)]
+    assert "sum(cast(" not in l._jdf.queryExecution().executedPlan().toString()
