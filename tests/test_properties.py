@@ -218,3 +218,16 @@ def test_permuted_rows_deal_each_column_anew(spark):
         assert (p[other].to_numpy() == out[out["model"] == ""].set_index(C.ID).sort_index()[other].to_numpy()).all()
     again = permuted_rows(rows.repartition(7), ["a", "b"]).toPandas()
     assert sorted(map(tuple, again[out.columns].to_numpy().tolist())) == sorted(map(tuple, out.to_numpy().tolist()))
+
+
+def test_near_pairs_leave_few_pairs_a_query():
+    from riskfold.operators.neighbors import distances, near_pairs
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(200, 10)), rng.normal(size=(20_011, 10))
+    want = np.sort(distances(x, y), axis=1)[:, :5]
+    got = [[] for _ in x]
+    for i, j, dist in near_pairs(x, y, 5, np.full(len(x), np.inf)):
+        for q, d in zip(i, dist):
+            got[q].append(d)
+    assert all(sorted(g)[:5] == list(w) for g, w in zip(got, want))
+    assert sum(map(len, got)) <= 8 * len(x)
