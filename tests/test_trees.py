@@ -176,3 +176,17 @@ def test_draws_are_even():
     assert abs(w.mean() - 0.8) < 0.02 and abs(w.var() - 0.8) < 0.03
     sub = TR.node_features(np.arange(1, 3000), 6, 2, 42, 1)
     assert (np.diff(sub, axis=1) > 0).all() and abs(np.bincount(sub.reshape(-1)) / 2999 - 1 / 3).max() < 0.03
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(table):
+    from riskfold.operators import models as M
+    m = M.fit_forest(table.withColumn(C.ID, F.lit(None).cast("bigint")), FEATS, 8, 4)
+    rows = [r["n"] for r in _roots(m)]
+    assert all(500 < n < 900 for n in rows) and len(set(rows)) > 1
+
+
+def _roots(m):
+    from riskfold.operators import tree_shap as TS
+    from pyspark.sql import SparkSession
+    nodes = TS.saved_nodes(SparkSession.getActiveSession(), m.info["model"])
+    return nodes.where("nodeData.id = 0").select(F.col("nodeData.rawCount").alias("n")).collect()
